@@ -26,6 +26,22 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", ids_crc32("tokens").alias("ids_crc32"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents, piece_digests
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return piece_digests(pack_documents(docs, tokenizer=tokenizer_path("word_bpe_49k.json"), end_id=1))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations, read_back
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(turns.unionByName(more)))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -35,7 +51,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
+    "op4_packing": op4_packing,
     "op9_simhash": op9_simhash,
+    "op10_chat": op10_chat,
 }
 
 ORACLE_SQL: dict[str, str] = {}

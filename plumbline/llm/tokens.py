@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 
@@ -82,11 +83,18 @@ class ChunkEncoder:
         asked = [c if c[:1] == "\n" else lead + c for c in rest]
         memo.update(zip(rest, self._library(asked), strict=True))
 
+    def _forget(self) -> None:
+        """Short chunks are the frequent ones; keep them if they are few enough."""
+        short = {k: v for k, v in self.memo.items() if len(k) <= 8}
+        self.memo.clear()
+        self.tails.clear()
+        if 2 * len(short) < MEMO_ENTRIES:
+            self.memo.update(short)
+
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id; a null text is empty."""
         if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-            self.tails.clear()
+            self._forget()
         memo = self.memo
         split: list[list[str] | None] = []
         missing: set[str] = set()
@@ -126,3 +134,9 @@ def blocks(texts: Sequence[str | None], chars: int = 4_000_000) -> list[slice]:
     if begin < len(texts):
         out.append(slice(begin, len(texts)))
     return out
+
+
+@lru_cache(maxsize=4)
+def shared_encoder(path: str, end_id: int, spaces_matter: bool) -> ChunkEncoder:
+    """The worker's encoder, with what it remembers from earlier tasks."""
+    return ChunkEncoder(path, end_id, spaces_matter)
