@@ -26,6 +26,18 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", ids_crc32("tokens").alias("ids_crc32"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+def op5_pivot_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pivot_lists import near_duplicate_vectors
+
+    return near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents, piece_digests
 
@@ -51,7 +63,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
+    "op3_topk": op3_topk,
     "op4_packing": op4_packing,
+    "op5_pivot_lists": op5_pivot_lists,
     "op9_simhash": op9_simhash,
     "op10_chat": op10_chat,
 }
