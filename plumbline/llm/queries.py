@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .storage import new_path
 
 
+#: Scores from which a document counts as good, and as toxic.
+QUALITY_THRESHOLD, TOXIC_THRESHOLD = 0.3, 0.5
+
+
 def tokenizer_path(name: str) -> str:
     """A public vocabulary's file on this machine; every machine has the package."""
     import public_tokenizers
@@ -45,6 +49,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(pack_documents(docs, tokenizer=tokenizer_path("word_bpe_49k.json"), end_id=1))
 
 
+def op8_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .byte_cnn import fit, score_quality
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scored = score_quality(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.withColumn("predicted", (F.col("score") >= QUALITY_THRESHOLD).cast("int"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_conversations, read_back
 
@@ -66,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_topk": op3_topk,
     "op4_packing": op4_packing,
     "op5_pivot_lists": op5_pivot_lists,
+    "op8_byte_cnn": op8_byte_cnn,
     "op9_simhash": op9_simhash,
     "op10_chat": op10_chat,
 }
