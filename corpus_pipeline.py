@@ -1,4 +1,4 @@
-"""A corpus from documents to packed sequences, in stages of one operator each."""
+"""A corpus from documents to packed sequences: good documents, without toxic ones and near-duplicates, packed."""
 
 from __future__ import annotations
 
@@ -6,13 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from plumbline.llm import byte_cnn, noisy_or, packing, simhash
+from plumbline.llm.queries import QUALITY_THRESHOLD, TOXIC_THRESHOLD, tokenizer_path
+from plumbline.llm.storage import materialize
 
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    net = byte_cnn.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return byte_cnn.keep_good(docs, net, QUALITY_THRESHOLD)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = noisy_or.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return noisy_or.drop_toxic(docs, model, TOXIC_THRESHOLD)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_representatives(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.piece_digests(packing.pack_documents(docs, tokenizer=tokenizer_path("word_bpe_49k.json"), end_id=1))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("packing", pack),
+]
+
+#: Trained models decide in it, so no SQL gives its rows; tests/llm/test_pipeline.py holds it against plain Python.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; what one stage leaves is a table that the next one reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -166,3 +166,18 @@ def score_quality(docs: DataFrame, net: ByteCnn) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), held_out().alias("held_out"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
+
+
+def keep_good(docs: DataFrame, net: ByteCnn, threshold: float) -> DataFrame:
+    """The rows of `docs` with a score of `threshold` or more, with all their columns."""
+    known, text = docs.sparkSession.sparkContext.broadcast(net), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [known.value.pooled(chunks(x.as_py())) for x in batch.column(text)]
+            if own:
+                counts = np.array([len(x) for x in own])
+                scores = known.value.probabilities(np.concatenate(own), np.cumsum(counts) - counts)
+                yield batch.filter(pa.array(scores >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

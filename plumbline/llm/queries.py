@@ -49,6 +49,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(pack_documents(docs, tokenizer=tokenizer_path("word_bpe_49k.json"), end_id=1))
 
 
+def op6_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .noisy_or import fit, score_toxicity
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scored = score_toxicity(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC_THRESHOLD).cast("int"))
+
+
 def op8_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_cnn import fit, score_quality
 
@@ -78,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_topk": op3_topk,
     "op4_packing": op4_packing,
     "op5_pivot_lists": op5_pivot_lists,
+    "op6_noisy_or": op6_noisy_or,
     "op8_byte_cnn": op8_byte_cnn,
     "op9_simhash": op9_simhash,
     "op10_chat": op10_chat,
