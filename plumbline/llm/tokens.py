@@ -40,22 +40,27 @@ class ChunkEncoder:
         self.spaces_matter = spaces_matter
         self.memo: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        pieces = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.edge = np.zeros(max(pieces.values()) + 1, dtype=bool)
+        self.edge[[i for p, i in pieces.items() if (p.startswith("\u0120") if spaces_matter else p.endswith("</w>"))]] = True
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
     def _words(self, words: list[str]) -> None:
-        """Remember words of letters only: many to a call, cut apart where the library's own word number changes."""
+        """Remember words of letters only: many to a call, cut apart at the pieces that begin a word with
+        its space, or that end a word."""
         lead = " " if self.spaces_matter else ""
         for i in range(0, len(words), 512):
             part = words[i : i + 512]
-            found = self.tokenizer.encode(lead + " ".join(part), add_special_tokens=False)
-            numbers = np.asarray(found.word_ids, dtype=np.float64)
-            cuts = [0, *(4 * (np.flatnonzero(np.diff(numbers)) + 1)).tolist(), 4 * len(numbers)]
-            if len(cuts) == len(part) + 1:
-                ids = np.asarray(found.ids, dtype="<u4").tobytes()
-                self.memo.update(zip(part, [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+            found = self.tokenizer.encode_batch_fast([lead + " ".join(part)], add_special_tokens=False)[0]
+            ids = np.asarray(found.ids, dtype="<u4")
+            marks = np.flatnonzero(self.edge[ids])
+            cuts = (4 * (np.append(marks, len(ids)) if self.spaces_matter else np.append(0, marks + 1))).tolist()
+            if len(cuts) == len(part) + 1 and cuts[0] == 0 and cuts[-1] == 4 * len(ids):
+                joined = ids.tobytes()
+                self.memo.update(zip(part, [joined[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
             else:  # a letter that the normaliser turns into more than letters
                 self.memo.update(zip(part, self._library([lead + w for w in part]), strict=True))
 
@@ -63,18 +68,19 @@ class ChunkEncoder:
         """Remember new chunks. A run of letters ends before any other ASCII character, whatever that is, so the two
         sides have ids of their own."""
         lead = " " if self.spaces_matter else ""
-        memo, tails, words, cut, rest, ends = self.memo, self.tails, set(), [], [], set()
-        for chunk in missing:
-            if chunk.isalpha():
-                words.add(chunk)
-                continue
-            head, tail = HEAD.match(chunk).groups()
-            if tail[:1].isascii() and head.isalpha():
-                cut.append((chunk, head, tail))
-                words.add(head)
-                ends.add(tail)
-            else:
-                rest.append(chunk)
+        memo, tails, rest, ends = self.memo, self.tails, [], set()
+        words = {c for c in missing if c.isalpha()}
+        cut = []
+        for chunk in missing - words:
+            head, tail = chunk[:-1], chunk[-1:]
+            if not (tail in ",." and head.isalpha()):
+                head, tail = HEAD.match(chunk).groups()
+                if not (tail[:1].isascii() and head.isalpha()):
+                    rest.append(chunk)
+                    continue
+            cut.append((chunk, head, tail))
+            words.add(head)
+            ends.add(tail)
         self._words([w for w in words if w not in memo])
         new = [t for t in ends if t not in tails]
         tails.update(zip(new, self._library(new), strict=True))
