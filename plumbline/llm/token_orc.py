@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import partitions
-from .tokens import ChunkEncoder, blocks
+from .tokens import blocks, shared_encoder
 
 SCHEMA = "doc_id long, file_start long, n_tokens int, tokens array<int>"
 
@@ -33,7 +33,7 @@ def write_token_orc(
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before = ChunkEncoder(tokenizer, end_id, spaces_matter), 0
+        encoder, before = shared_encoder(tokenizer, end_id, spaces_matter), 0
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for part in blocks(texts, 1_000_000):
