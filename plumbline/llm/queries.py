@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licences
 from .storage import new_path
 
 
@@ -30,6 +31,23 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", ids_crc32("tokens").alias("ids_crc32"))
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_licences(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.groupBy("doc_id", "licence").agg(F.max("dice").alias("dice"))
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, and the texts that they decode to, as digests."""
+    from .piece_transducer import decode_pieces, encode_pieces
+
+    model = tokenizer_path("piece_bpe_32k.model")
+    encoded = encode_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), model)
+    digests = ["(length(piece_ids) / 4)::long AS n_pieces", "crc32(piece_ids) AS ids_crc32"]
+    texts = ["length(text)::long AS decoded_chars", "crc32(text::binary) AS decoded_crc32"]
+    kept = decode_pieces(encoded, model, keep_ids=True)
+    return kept.selectExpr("doc_id", *digests, *texts)
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
@@ -83,13 +101,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
+    "op2_licences": op2_licences,
     "op3_topk": op3_topk,
     "op4_packing": op4_packing,
     "op5_pivot_lists": op5_pivot_lists,
     "op6_noisy_or": op6_noisy_or,
+    "op7_pieces": op7_pieces,
     "op8_byte_cnn": op8_byte_cnn,
     "op9_simhash": op9_simhash,
     "op10_chat": op10_chat,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_licences": licences.oracle_sql()}
