@@ -240,7 +240,8 @@ def keep_representatives(docs: DataFrame, **options: int) -> DataFrame:
     columns are those of `docs`, which may have any others besides doc_id and text."""
     found = near_duplicates(docs, **options).where("doc_id = component_id")
     kept = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    once, again = (kept.where(x).select("doc_id") for x in ("n = 1", "n > 1"))
+    # both grow with the input, so neither is broadcast, whatever its size today
+    once, again = (kept.where(x).select("doc_id").hint("merge") for x in ("n = 1", "n > 1"))
     row = F.struct(*docs.columns)
     first = F.min_by(row, F.struct(F.xxhash64("text"), F.to_json(row)))
     several = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("row")).select("row.*")
