@@ -182,7 +182,7 @@ def shard_forest(fp: np.ndarray, home: np.ndarray, radius: int, leaf_rows: int =
 
 
 def link_fingerprints(
-    nodes: DataFrame, *, radius: int = 2, shard_rows: int = 32_768, sample_per_shard: int = 64, sample_most: int = 262_144
+    nodes: DataFrame, *, radius: int = 2, shard_rows: int = 16_384, sample_per_shard: int = 64, sample_most: int = 262_144
 ) -> DataFrame:
     """Spanning edges (a, b) of all pairs of `nodes` (fp, rep: distinct both, no nulls) whose fp differ in at most
     `radius` bits. The shards' tree is built on the driver from at most sample_most fingerprints: those with the
@@ -218,7 +218,7 @@ def link_fingerprints(
     return routed.groupBy("shard").applyInPandas(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, radius: int = 2, shard_rows: int = 32_768) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, radius: int = 2, shard_rows: int = 16_384) -> DataFrame:
     """(doc_id, fp, component_id) for every row of `docs` (doc_id, text; other columns are ignored).
 
     Rows link when their fingerprints differ in at most `radius` bits; component_id is the smallest doc_id that links
