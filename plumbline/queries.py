@@ -400,3 +400,176 @@ def rtc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     clock = F.concat(*[encode_u8(F.expr(e).cast("int")) for e in CLOCK])
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", clock.alias("clock")).withColumn("rtc", rtc_stamp(F.col("clock")))
     return rows.select("event_id", F.col("rtc").isNotNull().alias("rtc_valid"), rtc_text(F.col("clock"), F.col("rtc")).alias("rtc_text"))
+
+
+# Events as bytes. The SQL builds its own hex text, layouts written out.
+HEX = "printf('%02x%02x', ({0}) & 255, ({0}) >> 8)"
+LEADER_SQL = "'8000' || " + HEX.format("number & 65535") + " || printf('%02x%02x%02x%02x%02x%02x%02x', year(t) - 2000, month(t), day(t), hour(t), minute(t), second(t), (epoch_us(t) // 10000) % 100) || printf('%02x', number >> 16) || repeat('00', 9)"
+SUM_SQL = "(list_sum(list_transform(range(0, length({0}) // 2), lambda i: ('0x' || substr({0}, (2 * i + 1)::INT, 2))::INT)) % 65536)::INT"
+PLAIN_SQL = f"""stamped AS (SELECT event_id, user_id, strftime(ts, '%Y%m%d') AS file, (event_id + 65000) % 70000 AS number, make_timestamp(epoch_us(ts) // 10000 * 10000) AS t FROM events),
+    bodies AS (SELECT *, '7f7f5100' || '0003' || '0c0034004900' || '0000' || repeat('0b', 38) || {LEADER_SQL} || '0100' || {HEX.format("event_id % 65536")} || {HEX.format("user_id % 65536")} || '0102' AS body FROM stamped),
+    sums AS (SELECT *, {SUM_SQL.format("body")} AS total FROM bodies),
+    plain AS (SELECT *, body || {HEX.format("total")} AS bytes, strftime(t, '%Y-%m-%dT%H:%M:%S.%g') AS rtc_text FROM sums)"""
+
+
+def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions import to_millis
+    from .functions.encode import clock_bytes
+    from .sources.events import at_millis
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.date_format("ts", "yyyyMMdd").alias("file"), ((to_millis("ts") / 10).cast("long") * 10).alias("ms"))
+    return events.select("event_id", "user_id", "file", "ms", ((F.col("event_id") + 65000) % 70000).cast("int").alias("number"), clock_bytes(at_millis(F.col("ms"))).alias("clock"))
+
+
+def plain_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions.encode import plain_record
+
+    low = lambda c: encode_u16((F.col(c) % 65536).cast("int"))
+    payload = F.concat(low("event_id"), low("user_id"), F.unhex(F.lit("0102")))
+    return stamped(spark, sf_dir).withColumn("bytes", plain_record(F.col("number"), F.col("clock"), F.lit(11), payload))
+
+
+@query("pd0_encode", f"WITH {PLAIN_SQL} SELECT event_id, sha256(unhex(bytes)) AS digest, (length(bytes) // 2)::BIGINT AS n FROM plain")
+def pd0_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain_bytes(spark, sf_dir).select("event_id", F.sha2("bytes", 256).alias("digest"), F.length("bytes").cast("long").alias("n"))
+
+
+@query("scan_records", f"""WITH {PLAIN_SQL}, laid AS (SELECT *, event_id % 23 = 0 AS bad, 83 + CASE WHEN event_id % 10 = 0 THEN 5 ELSE 0 END AS n FROM plain),
+    seated AS (SELECT *, (sum(n) OVER (PARTITION BY file ORDER BY event_id) - 83)::BIGINT AS start FROM laid)
+    SELECT file, CASE WHEN bad THEN 'BAD_CHECKSUM' ELSE 'VALID_ENSEMBLE' END AS classification, start, start + CASE WHEN bad THEN 2 ELSE 83 END AS "end",
+        CASE WHEN NOT bad THEN number END::BIGINT AS number, CASE WHEN NOT bad THEN rtc_text END AS rtc_text, CASE WHEN NOT bad THEN sha256(unhex(bytes)) END AS digest FROM seated""")
+def scan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of events, with noise before one in ten and a wrong checksum in one of 23, put together and scanned."""
+    from .sources import pd0
+
+    noise = F.when(F.col("event_id") % 10 == 0, F.lit(b"noise")).otherwise(F.lit(b""))
+    flipped = F.concat(F.expr("substring(bytes, 1, 81)"), encode_u16((u16("bytes", 81) + 1) % 65536))
+    piece = F.concat(noise, F.when(F.col("event_id") % 23 == 0, flipped).otherwise(F.col("bytes")))
+    laid = plain_bytes(spark, sf_dir).select("file", "event_id", piece.alias("piece"))
+    content = laid.groupBy(F.col("file").alias("path")).agg(F.expr("listagg(piece) WITHIN GROUP (ORDER BY event_id)").alias("content"))
+    scanned = pd0.scan_contents(content)
+    good = pd0.records(scanned).select("file", F.lit("VALID_ENSEMBLE").alias("classification"), "start", "end", F.col("number").cast("long").alias("number"), "rtc_text", "digest")
+    bad = pd0.regions(scanned).where("classification = 'BAD_CHECKSUM'").select("file", "classification", "start", "end")
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
+# (what is done to a record, what the parser says), by event_id % 8
+SPOILED = [
+    ("bytes", "VALID_ENSEMBLE"),
+    ("concat(X'0000', substring(bytes, 3))", "NON_PD0_DATA: missing sync"),
+    ("overlay(bytes PLACING X'0500' FROM 3)", "NON_PD0_DATA: implausible byte count 5"),
+    ("substring(bytes, 1, 60)", "TRUNCATED_ENSEMBLE: declared 83 bytes beyond EOF"),
+    ("overlay(bytes PLACING X'41' FROM 6)", "NON_PD0_DATA: implausible data type count 65"),
+    ("overlay(bytes PLACING X'0d' FROM 7)", "POSSIBLE_FRAGMENT: first offset 13 != header length 12"),
+    ("overlay(bytes PLACING X'34' FROM 11)", "POSSIBLE_FRAGMENT: data-type offsets not strictly increasing"),
+    ("substring(bytes, 1, 5)", "TRUNCATED_ENSEMBLE: incomplete header"),
+]
+
+
+@query("parse_status_chain", "SELECT event_id::VARCHAR AS path, ['" + "','".join(s for _, s in SPOILED) + "'][event_id % 8 + 1] AS status FROM events")
+def parse_status_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources import pd0
+
+    spoiled = F.expr("CASE event_id % 8 " + " ".join(f"WHEN {i} THEN {how}" for i, (how, _) in enumerate(SPOILED)) + " END")
+    each = plain_bytes(spark, sf_dir).select(F.col("event_id").cast("string").alias("path"), spoiled.alias("content"))
+    found = pd0.regions(pd0.scan_contents(each, "strict", payloads=False)).where("start = 0")
+    status = F.when(F.col("classification") == "VALID_ENSEMBLE", F.col("classification")).otherwise(F.concat_ws(": ", "classification", "reason"))
+    return found.select(F.col("file").alias("path"), status.alias("status"))
+
+
+@query("split_reconstruction", f"""WITH {PLAIN_SQL}, days AS (SELECT file, row_number() OVER (ORDER BY file) AS place, count(*) AS n FROM plain GROUP BY file),
+    cuts AS (SELECT d.place AS boundary, d.file AS previous_file, lead(d.file) OVER (ORDER BY d.place) AS next_file, 83 * d.n + CASE WHEN d.place > 1 THEN 12 ELSE 0 END AS previous_offset FROM days d)
+    SELECT boundary, previous_file, next_file, previous_offset::BIGINT AS previous_offset, 71::BIGINT AS previous_available_bytes, 12::BIGINT AS next_consumed_bytes,
+        CASE WHEN boundary % 5 = 0 THEN 'REJECTED' ELSE 'SAFE_RECONSTRUCTION' END AS status FROM cuts WHERE next_file IS NOT NULL""")
+def split_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day files, each of which ends with a record whose last twelve bytes begin the next; every fifth is spoiled."""
+    from .functions.encode import plain_record
+    from .operators import splits
+    from .sources import pd0
+
+    rows = plain_bytes(spark, sf_dir)
+    days = rows.groupBy("file").agg(F.expr("listagg(bytes) WITHIN GROUP (ORDER BY event_id)").alias("body"), F.max_by("clock", "event_id").alias("clock"), F.max("number").alias("number"))
+    order = Window.orderBy("file")  # one row for each file
+    days = days.withColumn("place", F.row_number().over(order)).withColumn("cut", plain_record(F.col("number") + 1, F.col("clock"), F.lit(11), F.lit(bytes(range(6)))))
+    tail = F.when(F.col("place") % 5 == 0, F.expr("overlay(cut PLACING X'55' FROM 60)")).otherwise(F.col("cut"))
+    days = days.withColumn("tail", tail).withColumn("head", F.expr("substring(lag(tail) OVER (ORDER BY file), 72)"))
+    contents = days.select(F.col("file").alias("path"), F.concat(F.coalesce("head", F.lit(b"")), "body", F.expr("substring(tail, 1, 71)")).alias("content"))
+    scanned = pd0.scan_contents(contents)
+    records, regions = pd0.records(scanned), pd0.regions(scanned)
+    facts = files.chronological(files.record_facts(records).join(files.region_facts(regions), "file", "left"))
+    found = splits.split_candidates(records, regions, contents, files.adjacent(facts))
+    return found.where("declared_total_bytes = 83").select(
+        F.col("boundary").cast("long").alias("boundary"), "previous_file", "next_file", "previous_offset", "previous_available_bytes", "next_consumed_bytes", "status"
+    )
+
+
+def pattern(k: int, n: int) -> str:
+    return f"array_to_string(list_transform(range({n}), lambda i: printf('%02x', (event_id % 256 + {20 * k} + i) % 256)), '')"
+
+
+def profile_sql(cells: int) -> str:
+    """Hex of a standard profile of 4 beams, 8 m cells."""
+    sizes = [40, 21, 2 + 8 * cells, *[2 + 4 * cells] * 3, 70]
+    starts = [20 + sum(sizes[:i]) for i in range(7)]
+    le = lambda v: v.to_bytes(2, "little").hex()
+    head = "7f7f" + le(20 + sum(sizes)) + "0007" + "".join(map(le, starts))
+    fixed = "0000" + "00" * 6 + f"04{cells:02x}" + "0000" + le(800) + "00" * 26
+    blocks = " || ".join(f"'{i}' || {pattern(k, n)}" for k, (i, n) in enumerate([("0001", 8 * cells), ("0002", 4 * cells), ("0003", 4 * cells), ("0004", 4 * cells)]))
+    return f"'{head}{fixed}' || {LEADER_SQL} || {blocks} || '0006' || {pattern(0, 68)}"
+
+
+STAMPED_SQL = PLAIN_SQL.split(",\n    bodies")[0]
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of one file of standard profiles, as the scan gives them."""
+    from .functions.encode import profile_record
+    from .sources import pd0
+
+    each = stamped(spark, sf_dir).select(F.col("event_id").cast("string").alias("path"), profile_record(F.col("number"), F.col("clock"), (F.col("event_id") % 256).cast("int")).alias("content"))
+    return pd0.records(pd0.scan_contents(each, "strict")).withColumn("start", F.col("file").cast("long"))
+
+
+@query("block_layout", """SELECT unnest(['0000','8000','0001','0002','0003','0004','0006']) AS id, unnest([20,60,81,115,133,151,169])::BIGINT AS "offset", unnest([40,21,34,18,18,18,70])::BIGINT AS length, (SELECT count(*) FROM events) AS n""")
+def block_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import bins
+
+    rows = bins.blocks(profiles(spark, sf_dir)).select(F.explode("blocks").alias("b")).select("b.id", F.col("b.offset").cast("long").alias("offset"), F.col("b.length").cast("long").alias("length"))
+    return rows.groupBy("id", "offset", "length").agg(F.count("*").alias("n"))
+
+
+@query("layout_uniform", "SELECT 1::BIGINT AS layouts, 4::BIGINT AS beams, 4::BIGINT AS cells, 800::BIGINT AS cell_cm, count(*) AS records FROM events")
+def layout_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import bins
+
+    found = bins.layouts(profiles(spark, sf_dir))
+    top = [F.max(c).cast("long").alias(c) for c in ("beams", "cells", "cell_cm")]
+    return found.agg(F.count("*").alias("layouts"), *top, F.sum("records").alias("records"))
+
+
+def trim_plan():  # noqa: ANN201
+    from .operators.bins import TrimPlan
+
+    return TrimPlan(("0000", "8000", "0001", "0002", "0003", "0004", "0006"), (20, 60, 81, 115, 133, 151, 169), (40, 21, 34, 18, 18, 18, 70), 4, 4, 800, 1, 0, 241)
+
+
+@query("bin_trim", f"WITH {STAMPED_SQL}, bodies AS (SELECT event_id, {profile_sql(3)} AS body FROM stamped), sums AS (SELECT *, {SUM_SQL.format('body')} AS total FROM bodies) SELECT event_id AS start, sha256(unhex(body || {HEX.format('total')})) AS digest, (length(body) // 2 + 2)::BIGINT AS n FROM sums")
+def bin_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import bins
+
+    made = bins.trim_cells(profiles(spark, sf_dir), trim_plan())
+    return made.select("start", F.sha2("payload", 256).alias("digest"), F.length("payload").cast("long").alias("n"))
+
+
+@query("bin_trim_verify", "SELECT event_id AS physical_index, 'block 0002 changed' AS fault FROM events WHERE event_id % 50 = 7")
+def bin_trim_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trimmed records checked against their sources, one in fifty spoiled in its second block of cells."""
+    from .operators import bins
+    from .sources import pd0
+
+    source = profiles(spark, sf_dir)
+    spoiled = F.when(F.col("start") % 50 == 7, F.expr("overlay(payload PLACING unhex(lpad(hex((ascii(substring(payload, 115, 1)) + 1) % 256), 2, '0')) FROM 115)")).otherwise(F.col("payload"))
+    made = bins.trim_cells(source, trim_plan()).select(F.col("start").cast("string").alias("path"), spoiled.alias("content"))
+    output = pd0.records(pd0.scan_contents(made, "framing"))
+    indexed = lambda df: df.withColumn("physical_index", F.col("file").cast("long"))
+    return bins.trim_faults(indexed(source), indexed(output), trim_plan())
