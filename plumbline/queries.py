@@ -164,10 +164,10 @@ def time_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.time_conflicts(rows, files.adjacent(placed(rows))).select(F.col("boundary").cast("long").alias("boundary"), "n")
 
 
-@query("asof_last_complete", sql("SELECT p.file, p.start + 2 AS at, (SELECT max(r.start) FROM archive r WHERE r.file = p.file AND r.stop <= p.start + 2) AS before FROM archive p WHERE p.start % 200 < 4", "archive"))
+@query("asof_last_complete", sql("SELECT p.file, p.start + 2 AS at, r.start AS before FROM archive p ASOF LEFT JOIN archive r ON r.file = p.file AND r.stop <= p.start + 2", "archive"))
 def asof_last_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = archive(spark, sf_dir)
-    return B.last_complete_before(rows, rows.where("start % 200 < 4").select("file", (F.col("start") + 2).alias("at")))
+    return B.last_complete_before(rows, rows.select("file", (F.col("start") + 2).alias("at")))
 
 
 @query("boundary_facts", sql("""SELECT boundary, previous_file, next_file, CASE WHEN len(facts) = 0 THEN 'AMBIGUOUS' ELSE facts[1] END AS primary_status,
