@@ -242,8 +242,9 @@ def keep_representatives(docs: DataFrame, **options: int) -> DataFrame:
     kept = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     # both grow with the input, so neither is broadcast, whatever its size today
     once, again = (kept.where(x).select("doc_id").hint("merge") for x in ("n = 1", "n > 1"))
-    row = F.struct(*docs.columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    row = F.struct(*columns)
     first = F.min_by(row, F.struct(F.xxhash64("text"), F.to_json(row)))
     several = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("row")).select("row.*")
-    single = docs.join(once, "doc_id", "left_semi").select(docs.columns)
+    single = docs.join(once, "doc_id", "left_semi").select(columns)
     return single.unionByName(several).unionByName(docs.where("doc_id is null"))

@@ -121,6 +121,13 @@ def test_documents_with_odd_rows(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_kept_rows_have_all_their_columns(spark):
+    rows = [(1, "a b c d", 1, [1], "x"), (1, "a b c e", 2, None, "y"), (2, "a b c d", 3, [2], "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rep int, `n.rows` array<int>, node string")
+    (row,) = keep_representatives(docs).collect()
+    assert tuple(row) in rows and row.doc_id == 1
+
+
 def test_query_against_brute_force(spark):
     from plumbline.llm.queries import QUERIES
 
