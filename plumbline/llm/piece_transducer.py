@@ -46,12 +46,17 @@ class PieceTransducer:
                 self.text[piece] = i
                 self.rank[piece] = -model.get_score(i)
                 self.bytes[i] = piece.replace(SPACE, " ").encode()
+        #: Little-endian ids of each piece, and of characters that the byte fallback has met.
+        self.packed = {p: i.to_bytes(4, "little") for p, i in self.text.items()}
         if any(SPACE in p.lstrip(SPACE) for p in self.text):
             raise ValueError("a piece has a space inside; units would depend on each other")
-        #: Beginnings of pieces: the states of the piece machine.
-        self.states = {p[:n] for p in self.text for n in range(1, len(p) + 1)}
+        #: Beginnings of pieces: the states of the piece machine, and whether each is final. A character alone always is:
+        #: the byte fallback takes it if no piece does.
+        self.states = {p[:n]: n == 1 for p in self.text for n in range(1, len(p) + 1)}
+        self.states.update(dict.fromkeys(self.text, True))
         self.units: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], float] = {}
+        self.arcs: dict[str, dict[str, float]] = {}
+        self.pairs = 0
 
     def merged(self, text: str) -> list[str]:
         """Byte-pair merges of a short string, the best-ranked pair first, of equals the leftmost."""
@@ -67,27 +72,32 @@ class PieceTransducer:
 
     def weight(self, last: str, piece: str) -> float:
         """Of the arc for `piece` from the state that remembers `last` (empty: the beginning)."""
-        known = self.pairs.get((last, piece))
+        own = self.arcs.setdefault(last, {})
+        known = own.get(piece)
         if known is None:
             apart = [last, piece] if last else [piece]
-            known = self.pairs[last, piece] = 0.0 if self.merged(last + piece) == apart else INFINITY
+            known = own[piece] = 0.0 if self.merged(last + piece) == apart else INFINITY
+            self.pairs += 1
         return known
 
     def shortest_path(self, unit: str) -> list[str]:
         """The pieces, or characters left to the byte fallback, of the only finite path."""
-        n, last, back = len(unit), {0: ""}, [0] * (len(unit) + 1)
+        n, states = len(unit), self.states
+        last: list = ["", *[None] * n]
+        back = [0] * (n + 1)
         for j in range(n):
             before = last[j]
+            arcs = self.arcs.setdefault(before, {})
             for i in range(j + 1, n + 1):
                 piece = unit[j:i]
-                if piece not in self.states:
-                    if i > j + 1:
-                        break
-                elif i > j + 1 and piece not in self.text:
-                    continue
-                if i not in last and self.weight(before, piece) == 0.0:
-                    last[i], back[i] = piece, j
-                if piece not in self.states:
+                final = states.get(piece)
+                if final is None and i > j + 1:
+                    break
+                if final is not False and last[i] is None:
+                    weight = arcs.get(piece)
+                    if (self.weight(before, piece) if weight is None else weight) == 0.0:
+                        last[i], back[i] = piece, j
+                if final is None:
                     break
         out, i = [], n
         while i:
@@ -96,11 +106,13 @@ class PieceTransducer:
         return out[::-1]
 
     def _unit(self, unit: str) -> bytes:
-        ids: list[int] = []
+        known, out = self.packed, []
         for piece in self.shortest_path(unit):
-            known = self.text.get(piece)
-            ids.extend([known] if known is not None else [self.byte_piece[b] for b in piece.encode("utf-8", "surrogatepass")])
-        return np.array(ids, dtype="<u4").tobytes()
+            ids = known.get(piece)
+            if ids is None:  # the byte fallback's pieces
+                ids = known[piece] = b"".join(self.byte_piece[b].to_bytes(4, "little") for b in piece.encode("utf-8", "surrogatepass"))
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -109,8 +121,8 @@ class PieceTransducer:
         if len(self.units) > UNITS_MOST:
             short = {k: v for k, v in self.units.items() if len(k) <= 8}
             self.units = short if 2 * len(short) < UNITS_MOST else {}
-        if len(self.pairs) > PAIRS_MOST:
-            self.pairs.clear()
+        if self.pairs > PAIRS_MOST:
+            self.arcs, self.pairs = {}, 0
         units, found = self.units, UNIT.findall(SPACE + text.replace(" ", SPACE))
         for unit in set(found).difference(units):
             units[unit] = self._unit(unit)
