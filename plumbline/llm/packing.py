@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .tokens import blocks, shared_encoder
 
 SCHEMA = "doc_id long, start long, length long, token_ids binary, doc_tokens long, sequence_id long, offset long"
+#: Nothing else here needs much memory, so more chunks are remembered.
+MEMO_ENTRIES = 1_500_000
 Piece = tuple  # (doc_id, start, length, ids, doc_tokens)
 
 
@@ -91,7 +93,7 @@ def pack_documents(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(tokenizer, end_id, spaces_matter)
+        encoder = shared_encoder(tokenizer, end_id, spaces_matter, MEMO_ENTRIES)
         packer = HarmonicPacker(capacity, TaskContext.get().partitionId() << 33)
         rows: list[tuple] = []
         size = 0

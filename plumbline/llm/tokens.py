@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
 
-#: The memo is emptied beyond this many chunks, which bounds a worker's memory.
+#: The memo is emptied beyond this many chunks, which bounds a worker's memory (about 250 bytes for each).
 MEMO_ENTRIES = 600_000
 #: Longer chunks are forgotten after the call.
 MEMO_CHARS = 64
@@ -30,14 +31,14 @@ class ChunkEncoder:
     spaces_matter: the vocabulary keeps white space (byte-level BPE). Otherwise white space is dropped (word BPE).
     """
 
-    def __init__(self, path: str, end_id: int, spaces_matter: bool) -> None:
+    def __init__(self, path: str, end_id: int, spaces_matter: bool, memo_entries: int = MEMO_ENTRIES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads would spin
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.end = np.uint32(end_id).astype("<u4").tobytes()
-        self.spaces_matter = spaces_matter
+        self.spaces_matter, self.memo_entries = spaces_matter, memo_entries
         self.memo: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         pieces = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -64,6 +65,10 @@ class ChunkEncoder:
             else:  # a letter that the normaliser turns into more than letters
                 self.memo.update(zip(part, self._library([lead + w for w in part]), strict=True))
 
+    def _turns(self, word: str) -> bool:
+        """Whether the word vocabulary's normaliser makes more than letters of these letters."""
+        return not (self.spaces_matter or word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
     def _learn(self, missing: set[str]) -> None:
         """Remember new chunks. A run of letters ends before any other ASCII character, whatever that is, so the two
         sides have ids of their own."""
@@ -73,9 +78,9 @@ class ChunkEncoder:
         cut = []
         for chunk in missing - words:
             head, tail = chunk[:-1], chunk[-1:]
-            if not (tail in ",." and head.isalpha()):
+            if not (tail in ",." and head.isascii() and head.isalpha()):
                 head, tail = HEAD.match(chunk).groups()
-                if not (tail[:1].isascii() and head.isalpha()):
+                if not (tail[:1].isascii() and head.isalpha()) or self._turns(head):
                     rest.append(chunk)
                     continue
             cut.append((chunk, head, tail))
@@ -94,12 +99,12 @@ class ChunkEncoder:
         short = {k: v for k, v in self.memo.items() if len(k) <= 8}
         self.memo.clear()
         self.tails.clear()
-        if 2 * len(short) < MEMO_ENTRIES:
+        if 2 * len(short) < self.memo_entries:
             self.memo.update(short)
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id; a null text is empty."""
-        if len(self.memo) > MEMO_ENTRIES:
+        if len(self.memo) > self.memo_entries:
             self._forget()
         memo = self.memo
         split: list[list[str] | None] = []
@@ -143,6 +148,6 @@ def blocks(texts: Sequence[str | None], chars: int = 4_000_000) -> list[slice]:
 
 
 @lru_cache(maxsize=4)
-def shared_encoder(path: str, end_id: int, spaces_matter: bool) -> ChunkEncoder:
+def shared_encoder(path: str, end_id: int, spaces_matter: bool, memo_entries: int = MEMO_ENTRIES) -> ChunkEncoder:
     """The worker's encoder, with what it remembers from earlier tasks."""
-    return ChunkEncoder(path, end_id, spaces_matter)
+    return ChunkEncoder(path, end_id, spaces_matter, memo_entries)
