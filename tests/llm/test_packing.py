@@ -94,3 +94,16 @@ def test_memo_gives_the_librarys_ids(spark, name, spaces):
     want = [np.array([*enc.tokenizer.encode(t, add_special_tokens=False).ids, 7], dtype="<u4").tobytes() for t in texts]
     assert enc.encode(texts) == want
     assert enc.encode(texts[::-1]) == want[::-1]
+
+
+PIECES = st.sampled_from([" ", "\n", "\t", "\r\n", "\u00a0", "a", "word", "Éa", "12", ",", "...", "'s", "e\u0301", "ß", "İ", "\u0958", "<s>"])
+
+
+@given(st.lists(PIECES, max_size=25).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_memo_on_mixed_white_space(text):
+    for name, spaces in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        from plumbline.llm.tokens import shared_encoder
+
+        enc = shared_encoder(public_tokenizers.path(name), 3, spaces)
+        assert enc.encode([text]) == [np.array([*enc.tokenizer.encode(text, add_special_tokens=False).ids, 3], dtype="<u4").tobytes()]
