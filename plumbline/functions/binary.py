@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def _column(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """`of` with a value that is worked out once, however often it is named."""
+    return F.transform(F.array(value), of)[0]
+
+
 def byte_at(data: Column | str, at: int | Column) -> Column:
     """The unsigned byte at a place counted from 0, null beyond the end."""
     place = (F.lit(at) if isinstance(at, int) else at) + 1
@@ -37,9 +44,11 @@ def encode_u16(value: Column) -> Column:
 
 def checksum16(data: Column | str) -> Column:
     """Sum of all bytes modulo 65536. Native; the scan uses numpy on the bytes that it holds anyway."""
-    own = _column(data)
-    places = F.when(F.length(own) > 0, F.sequence(F.lit(0), F.length(own) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, F.lit(0), lambda total, i: total + byte_at(own, i)).bitwiseAND(65535)
+    def total(own: Column) -> Column:
+        places = F.when(F.length(own) > 0, F.sequence(F.lit(0), F.length(own) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, F.lit(0), lambda sum_, i: sum_ + byte_at(own, i)).bitwiseAND(65535)
+
+    return let(_column(data), total)
 
 
 def counter24(lsb: Column, msb: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..vocabulary import CELL_BLOCKS
-from .binary import checksum16, encode_u8, encode_u16
+from .binary import checksum16, encode_u8, encode_u16, let
 
 
 def fill(first: Column, n: int) -> Column:
@@ -34,7 +34,7 @@ def assemble(blocks: list[tuple[Column, int]]) -> Column:
         at += n
     head = "7f7f" + at.to_bytes(2, "little").hex() + f"00{len(blocks):02x}" + "".join(s.to_bytes(2, "little").hex() for s in starts)
     body = F.concat(F.unhex(F.lit(head)), *[b for b, _ in blocks])
-    return F.concat(body, encode_u16(checksum16(body)))
+    return let(body, lambda b: F.concat(b, let(checksum16(b), encode_u16)))
 
 
 def profile_record(number: Column, clock: Column, seed: Column, cells: int = 4, beams: int = 4, cell_cm: int = 800) -> Column:

@@ -418,6 +418,7 @@ def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources.events import at_millis
 
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.date_format("ts", "yyyyMMdd").alias("file"), ((to_millis("ts") / 10).cast("long") * 10).alias("ms"))
+    events = events.repartition(spark.sparkContext.defaultParallelism)  # a small file is one split, but encoding is work
     return events.select("event_id", "user_id", "file", "ms", ((F.col("event_id") + 65000) % 70000).cast("int").alias("number"), clock_bytes(at_millis(F.col("ms"))).alias("clock"))
 
 
@@ -568,7 +569,7 @@ def bin_trim_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources import pd0
 
     source = profiles(spark, sf_dir)
-    spoiled = F.when(F.col("start") % 50 == 7, F.expr("overlay(payload PLACING unhex(lpad(hex((ascii(substring(payload, 115, 1)) + 1) % 256), 2, '0')) FROM 115)")).otherwise(F.col("payload"))
+    spoiled = F.when(F.col("start") % 50 == 7, F.expr("overlay(payload PLACING unhex(lpad(hex((CAST(conv(hex(substring(payload, 115, 1)), 16, 10) AS INT) + 1) % 256), 2, '0')) FROM 115)")).otherwise(F.col("payload"))
     made = bins.trim_cells(source, trim_plan()).select(F.col("start").cast("string").alias("path"), spoiled.alias("content"))
     output = pd0.records(pd0.scan_contents(made, "framing"))
     indexed = lambda df: df.withColumn("physical_index", F.col("file").cast("long"))
