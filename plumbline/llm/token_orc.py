@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .storage import partitions
 from .tokens import blocks, shared_encoder
 
+#: Chunks that a worker remembers, next to a JVM that sorts and writes.
+MEMO_ENTRIES = 1_000_000
 SCHEMA = "doc_id long, file_start long, n_tokens int, tokens array<int>"
 
 
@@ -33,7 +35,7 @@ def write_token_orc(
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before = shared_encoder(tokenizer, end_id, spaces_matter), 0
+        encoder, before = shared_encoder(tokenizer, end_id, spaces_matter, MEMO_ENTRIES), 0
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for part in blocks(texts, 1_000_000):

@@ -21,8 +21,9 @@ MEMO_ENTRIES = 600_000
 #: Longer chunks are forgotten after the call.
 MEMO_CHARS = 64
 HEAD = re.compile(r"([^\W\d_]*)(.*)", re.S)
-#: Where one white-space character follows another, what a space belongs to depends on its neighbours.
-BLANKS = re.compile(r"\s\s")
+#: A space or line feed beside another leaves one of these chunks; what such white space belongs to depends on its
+#: neighbours. Other white space is inside a chunk, with what follows it.
+BLANKS = {"", "\n"}
 
 
 class ChunkEncoder:
@@ -112,12 +113,14 @@ class ChunkEncoder:
         for text in texts:
             if not text:
                 split.append([])
-            elif self.spaces_matter and BLANKS.search(text):
-                split.append(None)
             else:
                 chunks = (text.replace("\n", " \n") if self.spaces_matter else text).split(" ")
-                split.append(chunks)
-                missing |= set(chunks[self.spaces_matter :]).difference(memo)
+                different = set(chunks[self.spaces_matter :])
+                if self.spaces_matter and not BLANKS.isdisjoint(different):
+                    split.append(None)
+                else:
+                    split.append(chunks)
+                    missing |= different.difference(memo)
         self._learn(missing)
         first = iter(self._library([c[0] for c in split if c]) if self.spaces_matter else [])
         out = []
