@@ -23,12 +23,11 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .token_orc import ids_crc32, read_token_orc, write_token_orc
+    from .token_orc import read_token_orc, token_digests, write_token_orc
 
     docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), new_path(spark, "op1-tokens")
     write_token_orc(docs, path, tokenizer=tokenizer_path("byte_bpe_50k.json"), end_id=2)
-    rows = read_token_orc(spark, path)
-    return rows.select("doc_id", "start", "n_tokens", ids_crc32("tokens").alias("ids_crc32"))
+    return token_digests(read_token_orc(spark, path))
 
 
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
