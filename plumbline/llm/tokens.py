@@ -22,8 +22,12 @@ MEMO_ENTRIES = 600_000
 MEMO_CHARS = 64
 HEAD = re.compile(r"([^\W\d_]*)(.*)", re.S)
 #: A space or line feed beside another leaves one of these chunks; what such white space belongs to depends on its
-#: neighbours. Other white space is inside a chunk, with what follows it.
+#: neighbours.
 BLANKS = {"", "\n"}
+#: So it does where a space or line feed has other white space on both sides. With such on one side only, the pattern
+#: cuts where chunks are cut.
+OTHER = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+BETWEEN = re.compile(f"[{OTHER}][ \n][{OTHER}]")
 
 
 class ChunkEncoder:
@@ -116,7 +120,7 @@ class ChunkEncoder:
             else:
                 chunks = (text.replace("\n", " \n") if self.spaces_matter else text).split(" ")
                 different = set(chunks[self.spaces_matter :])
-                if self.spaces_matter and not BLANKS.isdisjoint(different):
+                if self.spaces_matter and (not BLANKS.isdisjoint(different) or BETWEEN.search(text)):
                     split.append(None)
                 else:
                     split.append(chunks)

@@ -96,6 +96,14 @@ def test_memo_gives_the_librarys_ids(spark, name, spaces):
     assert enc.encode(texts[::-1]) == want[::-1]
 
 
+def test_other_white_space_between_spaces():
+    from plumbline.llm.tokens import ChunkEncoder
+
+    enc = ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"), 7, True)
+    texts = ["Home \u00a0 \u00a0 About", "a \u00a0 \u00a0 b", "\u00a0 \u00a0 \u00a0", "a\u00a0 \u00a0b", "a \u00a0\n\u00a0 b", "a \u00a0 b"]
+    assert enc.encode(texts) == [x + enc.end for x in enc._library(texts)]
+
+
 PIECES = st.sampled_from([" ", "\n", "\t", "\r\n", "\u00a0", "a", "word", "Éa", "12", ",", "...", "'s", "e\u0301", "ß", "İ", "\u0958", "<s>"])
 
 
