@@ -3,13 +3,19 @@
 A text's units are its lines, its paragraphs and the whole. With a least coefficient d, a unit of a bigrams can only
 match a template of b if d / (2 - d) <= a / b <= (2 - d) / d, and needs d * (a + b) / 2 of the template's bigrams. A
 document that lacks even the fewest that any such unit would need is done after one pass over its words.
+
+A notice can also span some lines or paragraphs, or be part of a line. Every run of lines or paragraphs is a window of
+words, so all windows of words are compared: of those that share no word, the best first. The best window begins and
+ends with a bigram of the template that occurs once in it, which leaves few to try.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from fractions import Fraction
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -63,7 +69,7 @@ TEMPLATES = {
 }
 NORMAL = re.compile(r"[a-z0-9]+")
 PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
-SCHEMA = "doc_id long, licence string, dice double, begin long, end long"
+SCHEMA = "doc_id long, licence string, dice double, begin long, end long, unit boolean"
 
 
 def words(text: str) -> list[str]:
@@ -109,8 +115,85 @@ class LicenceScanner:
     def scan(self, text: str) -> Iterator[tuple[str, float, int, int]]:
         """(licence, coefficient, begin, end) of each unit and each template it matches."""
         names = self._candidates(words(text))
+        if names:
+            yield from self._units(text, names)
+
+    def notices(self, text: str) -> Iterator[tuple[str, float, int, int, bool]]:
+        """What `scan` gives, with True; then (licence, coefficient, begin, end, False) of each window, without those
+        inside a unit whose coefficient is not below theirs."""
+        names = self._candidates(words(text))
         if not names:
             return
+        hits = sorted(self._units(text, names), key=lambda h: h[2])
+        yield from ((*h, True) for h in hits)
+        pairs, spans = self._places(text)
+        following, seen = [0] * len(pairs), {}
+        for k in range(len(pairs) - 1, -1, -1):
+            following[k] = seen.get(pairs[k], len(pairs))
+            seen[pairs[k]] = k
+        for name in names:
+            own = iter([h for h in hits if h[0] == name])
+            later, around = next(own, None), []
+            for dice, a, b in self._windows(pairs, following, name):
+                begin, end = spans[a][0], spans[b + 1][1]
+                while later and later[2] <= begin:
+                    around.append(later)
+                    later = next(own, None)
+                around = [h for h in around if h[3] > begin]
+                if not any(h[1] >= dice and h[3] >= end for h in around):
+                    yield name, dice, begin, end, False
+
+    @staticmethod
+    def _places(text: str) -> tuple[list[tuple[str, str]], list[tuple[int, int]]]:
+        """The text's bigrams in order, and (begin, end) of its words."""
+        lower = text.lower()
+        spans = [m.span() for m in NORMAL.finditer(lower)]
+        found = [lower[a:b] for a, b in spans]
+        if len(lower) != len(text):  # a letter whose lower case is longer
+            at = [i for i, c in enumerate(text) for _ in c.lower()]
+            spans = [(at[a], at[b - 1] + 1) for a, b in spans]
+        return list(zip(found, found[1:], strict=False)), spans
+
+    def _windows(self, pairs: list[tuple[str, str]], following: list[int], name: str) -> list[tuple[float, int, int]]:
+        """(coefficient, first bigram, last bigram), in order, of the template's windows: the one with the greatest
+        coefficient, among equals the shortest, then the first; and so on in the words before it and after it.
+
+        following: for each bigram, where the same one is next. One option for each first bigram is kept; it is found
+        again up to a window that was taken meanwhile.
+        """
+        own, most = self.sets[name], self.bounds[name][1]
+        up, down = self.least.numerator, self.least.denominator
+
+        def best(a: int, stop: int) -> tuple[float, int, int] | None:
+            found, seen, shared = None, set(), 0
+            for b in range(a, min(stop, following[a])):
+                if pairs[b] not in seen:
+                    seen.add(pairs[b])
+                    total = len(seen) + len(own)
+                    if len(seen) > most:
+                        break
+                    if pairs[b] in own:
+                        shared += 1
+                        if 2 * shared * down >= up * total and (found is None or 2 * shared / total > -found[0]):
+                            found = -2 * shared / total, b - a, a
+            return found
+
+        options = [o for k, p in enumerate(pairs) if p in own and (o := best(k, len(pairs)))]
+        heapify(options)
+        taken: list[tuple[int, int, float]] = []
+        while options:
+            dice, length, a = heappop(options)
+            i = bisect(taken, a, key=lambda t: t[0])
+            if i and a <= taken[i - 1][1] + 1:
+                continue
+            if i < len(taken) and a + length + 1 >= taken[i][0]:
+                if again := best(a, taken[i][0] - 1):
+                    heappush(options, again)
+                continue
+            taken.insert(i, (a, a + length, -dice))
+        return [(dice, a, b) for a, b, dice in taken]
+
+    def _units(self, text: str, names: list[str]) -> Iterator[tuple[str, float, int, int]]:
         low, high = min(self.bounds[n][0] for n in names), max(self.bounds[n][1] for n in names)
         for begin, end in units(text):
             found = words(text[begin:end])
@@ -127,10 +210,12 @@ class LicenceScanner:
 
 
 def scan_licences(docs: DataFrame, *, least_percent: int = 80, templates: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, licence, dice, begin, end) for each unit of each row of `docs` (doc_id, text) and each template with a
-    coefficient of least_percent / 100 or more; begin and end are code points of the text.
+    """(doc_id, licence, dice, begin, end, unit) for each unit and window of words of each row of `docs` (doc_id, text) and
+    each template with a coefficient of least_percent / 100 or more; begin and end are code points of the text.
 
-    A unit is a line, a paragraph or the whole text; units of the same place count once. Null and empty texts match
+    A unit is a line, a paragraph or the whole text; units of the same place count once. Windows (unit is false) of one
+    licence share no word: the best is taken first, then the best of what is left; one inside a unit of the same licence
+    with at least its coefficient is left out. Null and empty texts match
     nothing. Rows with null or repeated doc_ids are scanned like any other. Other columns are ignored; an empty table
     gives no rows. The templates are a small fixed table that goes with the code.
     """
@@ -138,14 +223,14 @@ def scan_licences(docs: DataFrame, *, least_percent: int = 80, templates: dict[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = LicenceScanner(chosen, Fraction(least_percent, 100))
-        kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
         for batch in batches:
             out = []
             for i, text in enumerate(batch.column(1)):
                 own = text.as_py()
                 if own:
                     doc_id = batch.column(0)[i].as_py()
-                    out.extend((doc_id, *hit) for hit in scanner.scan(own))
+                    out.extend((doc_id, *hit) for hit in scanner.notices(own))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 

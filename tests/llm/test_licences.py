@@ -55,3 +55,71 @@ def test_odd_rows(spark):
         (0, "all-rights-reserved", 1.0, 0, 19), (3, "all-rights-reserved", 1.0, 500_001, 500_021), (3, "all-rights-reserved", 1.0, 500_001, 500_021),
     ]
     assert scan_licences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def slow_windows(text, template, lo=0, hi=None):
+    """{(coefficient, first word, end word)} by trying all windows."""
+    w, b = words(text), bigrams(words(template))
+    hi = len(w) if hi is None else hi
+    tried = [(Fraction(2 * len(a & b), len(a) + len(b)), i, j) for i in range(lo, hi) for j in range(i + 2, hi + 1) if (a := bigrams(w[i:j]))]
+    good = [t for t in tried if t[0] >= LEAST]
+    if not good:
+        return set()
+    dice, i, j = min(good, key=lambda t: (-t[0], t[2] - t[1], t[1]))
+    return {(float(dice), i, j)} | slow_windows(text, template, lo, i) | slow_windows(text, template, j, hi)
+
+
+@given(st.lists(st.sampled_from("a a b c d e f x".split()), max_size=24), st.sampled_from(["a b", "a b c", "a b c d e f", "a b a c a d e"]))
+@settings(max_examples=300, deadline=None)
+def test_windows_are_those_of_trying_all(found, template):
+    scanner = LicenceScanner({"t": template}, LEAST)
+    text = " ".join(found)
+    hits = [h for h in scanner.notices(text) if not h[4]]
+    want = {(d, 2 * i, 2 * j - 1) for d, i, j in slow_windows(text, template)}
+    around = {h[1:4] for h in scanner.scan(text)}
+    assert {h[1:4] for h in hits} == {t for t in want if not any(u[0] >= t[0] and u[1] <= t[1] and t[2] <= u[2] for u in around)}
+
+
+BSD = """Copyright (c) 2020, Some Body
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+
+def test_notices_over_paragraphs_and_inside_a_line(spark):
+    other = " ".join(f"w{i}" for i in range(300))
+    line = "\u0130: this module is released under the MIT License. See the file for details."
+    rows = [(1, BSD), (2, APACHE + "\n" + other), (3, line), (4, other)]
+    got = {(r.doc_id, r.licence): r for r in scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).where("NOT unit").collect()}
+    assert {(1, "bsd-2-clause"), (2, "apache-2.0-header"), (3, "mit-reference")} <= set(got)
+    assert all(r.doc_id < 4 and r.dice >= 0.8 for r in got.values())
+    assert line[got[3, "mit-reference"].begin : got[3, "mit-reference"].end] == "released under the MIT License"
+
+
+def test_many_notices_in_one_text_are_all_found():
+    text = (TEMPLATES["mit"] + " ") * 100 + "All rights reserved " * 3000
+    hits = [h for h in LicenceScanner(TEMPLATES, LEAST).notices(text) if not h[4]]
+    assert sum(h[0] == "mit" for h in hits) >= 99 and sum(h[0] == "all-rights-reserved" for h in hits) >= 3000
