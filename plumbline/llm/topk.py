@@ -19,23 +19,25 @@ from pyspark.sql import functions as F
 from .storage import materialize, partitions
 from .vectors import matrices, runs, sample_matrices, usable
 
-#: Components of at least this size don't take part: sums of their products could leave 64 bits.
-LARGEST = 1 << 24
-NONE = -(1 << 62)
+#: Vectors whose product with themselves reaches this (a little under 2**63, for sums in doubles) don't take part: a score
+#: of two of them may not fit a long. All products of the others do.
+LARGEST_SQUARE = 9.2e18
+NONE = -(1 << 63)
 HITS = "query_id long, vec_id long, score long"
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 1024) -> DataFrame:
-    """(vec_id, v array<int>): floor(scale * x) of every component x as a double, of the vectors that take part."""
+    """(vec_id, v array<long>): floor(scale * x) of every component x as a double, of the vectors that take part."""
     rows = vectors.where(usable("embedding") & F.col("vec_id").isNotNull())
     v = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    return rows.where(F.forall("v", lambda x: F.abs(x) < LARGEST)).select("vec_id", F.col("v").cast("array<int>").alias("v"))
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return rows.where(square < LARGEST_SQUARE)
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer products of rows: in doubles while all sums stay below 2**53."""
-    if len(a) and len(b) and np.abs(a).max() * np.abs(b).max() * a.shape[-1] < 1 << 53:
+    if len(a) and len(b) and int(np.abs(a).max()) * int(np.abs(b).max()) * a.shape[-1] < 1 << 53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     return a.astype(np.int64) @ b.astype(np.int64).T
 
@@ -129,7 +131,8 @@ def top_k(
     on vec_id) takes, over all rows but those of its own vec_id; ties go to the smaller vec_id.
 
     Components count as floor(1024 * x). Vectors that are null, empty or hold null or non-finite components take no
-    part, nor do rows with a null vec_id, nor components of 2**24 or more after scaling. Vectors compare with those of
+    part, nor do rows with a null vec_id, nor vectors whose product with themselves after
+    scaling is 9.2e18 or more, as scores of two of them may not fit a long. Vectors compare with those of
     their own length. A vec_id on several rows is one query, by the smallest of its vectors; each of its rows is a
     candidate for others, and may come up several times. Other columns are ignored; an empty table gives no rows.
 
@@ -156,7 +159,7 @@ def top_k(
                 [*batch.columns, pa.array(tables, type=pa.list_(pa.float64())), pa.array(homes)], names=["vec_id", "v", "table", "home"]
             )
 
-    described = materialize(clean.mapInArrow(describe, "vec_id long, v array<int>, table array<double>, home int"), "pivot-table")
+    described = materialize(clean.mapInArrow(describe, "vec_id long, v array<long>, table array<double>, home int"), "pivot-table")
     sizes = {r.home: r.n for r in described.groupBy("home").agg(F.count("*").alias("n")).collect()}  # one row a pivot
     rows = max(block_rows, -(-sum(sizes.values()) // most_blocks))
     parts, base, before = {}, {}, 0
@@ -206,7 +209,7 @@ def top_k(
 
         return run
 
-    sent = "block int, id long, v array<int>, table array<double>, floor long"
+    sent = "block int, id long, v array<long>, table array<double>, floor long"
     # map-side minimum: a query id on many rows costs one row for each task
     queries = described.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "table")).alias("x")).select("vec_id", "x.v", "x.table", F.lit(NONE).cast("long").alias("floor"))
     candidates = placed.select("block", F.lit(0).alias("query"), F.col("vec_id").alias("id"), "v", "table", F.lit(NONE).cast("long").alias("floor"))

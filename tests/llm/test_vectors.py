@@ -81,6 +81,19 @@ def test_top_k_with_odd_rows(spark):
     assert top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_keeps_vectors_whose_scores_fit_a_long(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=4) * 10.0 ** rng.integers(-3, 6)).tolist()) for i in range(300)]
+    rows += [(400, [2.9e6, 0.001, 0.0, 0.0]), (401, [-2.9e6, 0.002, 0.0, 0.0]), (402, [20_000.001, 0.5, 0.0, 0.0]), (500, [2.9e6, 0.003]), (501, [-2.9e6, 0.001])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = slow_top_k(rows, lambda i: i % 20 == 0)
+    assert (500, 1, 501, -(2_969_600_000**2) + 3) in want
+    for block_rows in (40, 8192):
+        assert {tuple(r) for r in top_k(df, F.col("vec_id") % 20 == 0, block_rows=block_rows, pivots=8).collect()} == want
+    over = spark.createDataFrame([(0, [1.0, 2.0]), (1, [-1e30, 0.0]), (2, [4e6, 0.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in top_k(over, F.col("vec_id") == 0).collect()] == [3]
+
+
 def test_top_k_query_against_brute_force(spark):
     at = "/root/testdata/sf0.01"
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{at}/embeddings.parquet").collect()]
