@@ -235,16 +235,28 @@ def near_duplicates(docs: DataFrame, *, radius: int = 2, shard_rows: int = 16_38
 
 
 def keep_representatives(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows of `docs` that stand for their group: doc_id equal to component_id. Of several rows with such a doc_id
-    the one with the smallest hash of its text stays, then of all its columns' JSON. Rows with a null doc_id stay. The
-    columns are those of `docs`, which may have any others besides doc_id and text."""
-    found = near_duplicates(docs, **options).where("doc_id = component_id")
-    kept = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    # both grow with the input, so neither is broadcast, whatever its size today
-    once, again = (kept.where(x).select("doc_id").hint("merge") for x in ("n = 1", "n > 1"))
+    """The rows of `docs` that stand for their group: doc_id equal to component_id. Of several such rows with one doc_id
+    the one with the smallest hash of its text stays, then of all its columns' JSON; a row of that doc_id whose text
+    belongs to another group doesn't. Rows with a null doc_id stay. The columns are those of `docs`, which may have any
+    others besides doc_id and text."""
+    found = near_duplicates(docs, **options).where("doc_id is not null")
+    each = F.count("*").alias("n"), F.max(F.expr("doc_id = component_id")).alias("stands")
+    kept = materialize(found.groupBy("doc_id", "fp").agg(*each), "kept")
+    ids = kept.groupBy("doc_id").agg(F.sum("n").alias("n"), F.max("stands").alias("stands")).where("stands")
+    # all grow with the input, so none is broadcast, whatever its size today
+    once, again = (ids.where(x).select("doc_id").hint("merge") for x in ("n = 1", "n > 1"))
+    stand = kept.where("stands").select(F.col("doc_id").alias("id"), "fp").hint("merge")
+
+    @F.pandas_udf("long")
+    def own_fingerprint(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter(map(fingerprint, texts), dtype=np.uint64, count=len(texts)).view(np.int64))
+
     columns = [F.col(f"`{c}`") for c in docs.columns]
     row = F.struct(*columns)
-    first = F.min_by(row, F.struct(F.xxhash64("text"), F.to_json(row)))
-    several = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("row")).select("row.*")
+    rows = docs.join(again, "doc_id", "left_semi").select(
+        F.col("doc_id").cast("long").alias("id"), own_fingerprint(F.col("text").cast("string")).alias("fp"), row.alias("row"),
+        F.struct(F.xxhash64("text"), F.to_json(row)).alias("place"),
+    )
+    several = rows.join(stand, ["id", "fp"], "left_semi").groupBy("id").agg(F.min_by("row", "place").alias("row")).select("row.*")
     single = docs.join(once, "doc_id", "left_semi").select(columns)
     return single.unionByName(several).unionByName(docs.where("doc_id is null"))

@@ -128,6 +128,14 @@ def test_kept_rows_have_all_their_columns(spark):
     assert tuple(row) in rows and row.doc_id == 1
 
 
+def test_rows_of_a_kept_id_that_copy_another_document_go(spark):
+    one, two, three, four = ("a cat sat on a mat", "rain fell over green hills", "seven ships left port early", "old clocks tick in empty halls")
+    rows = [(1, one), (5, one), (5, two), (7, one), (7, three), (7, four), (7, three), (8, four), (9, "  "), (9, None)]
+    kept = sorted(tuple(r) for r in keep_representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert [r[0] for r in kept] == [1, 5, 7, 9]
+    assert kept[:2] == [(1, one), (5, two)] and kept[2][1] in (three, four)
+
+
 def test_query_against_brute_force(spark):
     from plumbline.llm.queries import QUERIES
 
