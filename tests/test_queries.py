@@ -40,3 +40,19 @@ def test_query_is_the_sql(spark, db, name):
     have = [tuple(r[n] for n in names) for r in got.collect()]
     assert plain(have) == plain(want)
     assert have
+
+
+def test_split_reconstruction_returns_candidates_of_any_length(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from plumbline.operators import splits
+
+    found = splits.split_candidates
+
+    def with_chance_hit(*args):
+        own = found(*args)
+        return own.unionByName(own.where("boundary = 1").withColumn("declared_total_bytes", F.lit(90).cast(own.schema["declared_total_bytes"].dataType)))
+
+    before = QUERIES["split_reconstruction"](spark, AT).count()
+    monkeypatch.setattr(splits, "split_candidates", with_chance_hit)
+    assert QUERIES["split_reconstruction"](spark, AT).count() == before + 1
