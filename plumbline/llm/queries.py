@@ -136,7 +136,7 @@ ORACLE_SQL: dict[str, str] = {
         parts AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
         counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
         SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM parts LEFT JOIN counts USING (vec_id)""",
-    "op10_chat": """
+    "op10_chat": r"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'

@@ -3,7 +3,8 @@
 Both supported vocabularies split a text at spaces before any merge, so the ids of a text are the ids of its
 space-separated chunks put together. Chunks repeat far more than documents do; each worker asks the library once for
 each chunk it has not seen and joins little-endian unsigned 32-bit ids. Texts whose chunks are not independent (runs of
-white space under the byte-level pattern) go to the library whole.
+white space under the byte-level pattern) go to the library whole, and so do texts that hold the string of a special
+token, which the library gives that token's id.
 """
 
 from __future__ import annotations
@@ -21,13 +22,22 @@ MEMO_ENTRIES = 600_000
 #: Longer chunks are forgotten after the call.
 MEMO_CHARS = 64
 HEAD = re.compile(r"([^\W\d_]*)(.*)", re.S)
-#: A space or line feed beside another leaves one of these chunks; what such white space belongs to depends on its
-#: neighbours.
-BLANKS = {"", "\n"}
-#: So it does where a space or line feed has other white space on both sides. With such on one side only, the pattern
-#: cuts where chunks are cut.
-OTHER = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
-BETWEEN = re.compile(f"[{OTHER}][ \n][{OTHER}]")
+#: What such white space belongs to depends on its neighbours, so texts with a chunk that begins or ends with it, or is
+#: empty because two spaces meet, go to the library whole. A line feed begins its chunk.
+OTHER = frozenset(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+LONE = OTHER | {"", "\n"}
+
+
+class Memo(dict):
+    """Ids of chunks; a chunk that is asked for in vain is noted. None stands for a chunk that has no ids of its own."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.missing: set[str] = set()
+
+    def __missing__(self, chunk: str) -> bytes:
+        self.missing.add(chunk)
+        return b""
 
 
 class ChunkEncoder:
@@ -41,10 +51,10 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = np.uint32(end_id).astype("<u4").tobytes()
         self.spaces_matter, self.memo_entries = spaces_matter, memo_entries
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo()
         self.tails: dict[str, bytes] = {}
         pieces = self.tokenizer.get_vocab(with_added_tokens=True)
         self.edge = np.zeros(max(pieces.values()) + 1, dtype=bool)
@@ -80,8 +90,13 @@ class ChunkEncoder:
         lead = " " if self.spaces_matter else ""
         memo, tails, rest, ends = self.memo, self.tails, [], set()
         words = {c for c in missing if c.isalpha()}
+        missing = missing - words
+        if self.spaces_matter:
+            odd = {c for c in missing if c[-1:] in LONE or c[c[0] == "\n"] in OTHER}
+            memo.update(dict.fromkeys(odd))
+            missing -= odd
         cut = []
-        for chunk in missing - words:
+        for chunk in missing:
             head, tail = chunk[:-1], chunk[-1:]
             if not (tail in ",." and head.isascii() and head.isalpha()):
                 head, tail = HEAD.match(chunk).groups()
@@ -102,43 +117,56 @@ class ChunkEncoder:
     def _forget(self) -> None:
         """Short chunks are the frequent ones; keep them if they are few enough."""
         short = {k: v for k, v in self.memo.items() if len(k) <= 8}
+        self.memo.missing.clear()
         self.memo.clear()
         self.tails.clear()
         if 2 * len(short) < self.memo_entries:
             self.memo.update(short)
 
+    def _split(self, text: str | None) -> list[str] | None:
+        """The chunks of a text, with the first chunk of a byte-level vocabulary, which has no space before it, apart;
+        None for a text that goes to the library whole."""
+        if not text:
+            return []
+        if any(special in text for special in self.special):
+            return None
+        return (text.replace("\n", " \n") if self.spaces_matter else text).split(" ")
+
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id; a null text is empty."""
         if len(self.memo) > self.memo_entries:
             self._forget()
-        memo = self.memo
-        split: list[list[str] | None] = []
-        missing: set[str] = set()
-        for text in texts:
-            if not text:
-                split.append([])
-            else:
-                chunks = (text.replace("\n", " \n") if self.spaces_matter else text).split(" ")
-                different = set(chunks[self.spaces_matter :])
-                if self.spaces_matter and (not BLANKS.isdisjoint(different) or BETWEEN.search(text)):
-                    split.append(None)
-                else:
-                    split.append(chunks)
-                    missing |= different.difference(memo)
-        self._learn(missing)
-        first = iter(self._library([c[0] for c in split if c]) if self.spaces_matter else [])
-        out = []
-        for text, chunks in zip(texts, split, strict=True):
-            if chunks is None:
-                out.append(self._library([text])[0] + self.end)
-            elif self.spaces_matter and chunks:
-                out.append(next(first) + b"".join(map(memo.__getitem__, chunks[1:])) + self.end)
-            else:
-                out.append(b"".join(map(memo.__getitem__, chunks)) + self.end)
-        if any(len(c) > MEMO_CHARS for c in missing):
-            for chunk in [c for c in missing if len(c) > MEMO_CHARS]:
-                memo.pop(chunk, None)
-        return out
+        memo, tail, asked = self.memo, int(self.spaces_matter), set()
+        get, join = memo.__getitem__, b"".join
+        out: list[bytes | None] = [None] * len(texts)
+        split = [self._split(text) for text in texts]
+        again: list[int] = []
+        for i, chunks in enumerate(split):
+            if chunks is not None:
+                try:
+                    out[i] = join(map(get, chunks[tail:]))
+                except TypeError:  # a chunk without ids of its own
+                    split[i] = None
+                if memo.missing:
+                    asked |= memo.missing
+                    memo.missing.clear()
+                    again.append(i)
+        self._learn(asked)
+        for i in again:
+            try:
+                out[i] = join(map(get, split[i][tail:])) if split[i] is not None else None
+            except TypeError:
+                split[i] = out[i] = None
+        whole = [i for i, chunks in enumerate(split) if chunks is None]
+        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        if tail:
+            some = [i for i, chunks in enumerate(split) if chunks]
+            for i, ids in zip(some, self._library([split[i][0] for i in some]), strict=True):
+                out[i] = ids + out[i]
+        for chunk in [c for c in asked if len(c) > MEMO_CHARS]:
+            memo.pop(chunk, None)
+        return [ids + self.end for ids in out]
 
 
 def blocks(texts: Sequence[str | None], chars: int = 4_000_000) -> list[slice]:

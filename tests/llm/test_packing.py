@@ -44,7 +44,6 @@ def test_bins_hold_and_waste_little(sizes):
 
 def check_pieces(rows, texts):
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     want = {k: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for k, t in texts.items()}
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -87,11 +86,12 @@ def test_memo_gives_the_librarys_ids(spark, name, spaces):
 
     odd = [
         "a\x0b\nb", "\nA", "\n", "a\n", "éx é", "x,́", "a\x1e\nb", "x²y", "x_y a_", "a  b", "", "  a  b ", "a\n b", "x   ", " x", "x ",
-        "a\n\n  b", "it's  ok 's", "é́ à", "Σας ΟΔΟΣ İst", "<|endoftext|> x", "1234 5 ½", "a" * 500, "!!! ,a .b", "don't we'll", "tab\tx",
+        "a\n\n  b", "it's  ok 's", "é́ à", "Σας ΟΔΟΣ İst", "<|endoftext|> x", "a<|startoftext|>b", "see <|endoftext|>, <|endoftext|>\n<|ENDOFTEXT|> end", "1234 5 ½", "a" * 500, "!!! ,a .b", "don't we'll", "tab\tx",
     ]
     texts = odd + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     enc = ChunkEncoder(public_tokenizers.path(name), 7, spaces)
-    want = [np.array([*enc.tokenizer.encode(t, add_special_tokens=False).ids, 7], dtype="<u4").tobytes() for t in texts]
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    want = [np.array([*library.encode(t, add_special_tokens=False).ids, 7], dtype="<u4").tobytes() for t in texts]
     assert enc.encode(texts) == want
     assert enc.encode(texts[::-1]) == want[::-1]
 
@@ -104,7 +104,9 @@ def test_other_white_space_between_spaces():
     assert enc.encode(texts) == [x + enc.end for x in enc._library(texts)]
 
 
-PIECES = st.sampled_from([" ", "\n", "\t", "\r\n", "\u00a0", "a", "word", "Éa", "12", ",", "...", "'s", "e\u0301", "ß", "İ", "\u0958", "<s>"])
+PIECES = st.sampled_from([" ", "\n", "<|endoftext|>", "<|startoftext|>", "\t", "\r\n", "\u00a0", "a", "word", "Éa", "12", ",", "...", "'s", "e\u0301", "ß", "İ", "\u0958", "<s>"])
+
+LIBRARY = {name: Tokenizer.from_file(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "word_bpe_49k.json")}
 
 
 @given(st.lists(PIECES, max_size=25).map("".join))
@@ -113,5 +115,5 @@ def test_memo_on_mixed_white_space(text):
     for name, spaces in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
         from plumbline.llm.tokens import shared_encoder
 
-        enc = shared_encoder(public_tokenizers.path(name), 3, spaces)
-        assert enc.encode([text]) == [np.array([*enc.tokenizer.encode(text, add_special_tokens=False).ids, 3], dtype="<u4").tobytes()]
+        enc, library = shared_encoder(public_tokenizers.path(name), 3, spaces), LIBRARY[name]
+        assert enc.encode([text]) == [np.array([*library.encode(text, add_special_tokens=False).ids, 3], dtype="<u4").tobytes()]

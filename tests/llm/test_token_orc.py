@@ -15,7 +15,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 def plain(texts, end=2):
     """[(doc_id, start, n, crc)] of (doc_id, text) in order."""
     tok, out, before = Tokenizer.from_file(PATH), [], 0
-    tok.encode_special_tokens = True
     for doc_id, text in texts:
         ids = [*tok.encode(text or "", add_special_tokens=False).ids, end]
         out.append((doc_id, before, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
@@ -57,7 +56,7 @@ def test_footers_have_bloom_filters(spark, tmp_path):
     assert footer.getRowIndexStride() == 1000
 
 
-@pytest.mark.parametrize("rows", [[], [(None, None, 1), (None, "x y", 1), (5, "", 1), (5, "b", 1), (5, "b", 1), (-4, "word " * 50_000, 1)]])
+@pytest.mark.parametrize("rows", [[], [(None, None, 1), (None, "x y", 1), (5, "", 1), (5, "b", 1), (5, "b", 1), (6, "a <|endoftext|> b", 1), (-4, "word " * 50_000, 1)]])
 def test_odd_rows(spark, tmp_path, rows):
     path = f"file://{tmp_path}/tokens"
     write_token_orc(spark.createDataFrame(rows, "doc_id long, text string, start int"), path, tokenizer=PATH, end_id=2)
