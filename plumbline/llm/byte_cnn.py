@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, training_sample
+from .labelled import held_out, rows_by_text, training_sample
 
 WIDTH, FILTERS, HIDDEN, CHUNK = 5, 24, 16, 256
 #: Bytes that a chunk spans: CHUNK places for a filter to begin at.
@@ -63,11 +63,21 @@ class ByteCnn:
         return out
 
     def pooled(self, rows: np.ndarray, step: int = 24) -> np.ndarray:
-        out = np.empty((len(rows), FILTERS), dtype=np.float32)
+        """Each filter's greatest answer in each chunk; a few chunks are worked on at a time."""
+        out = np.empty((len(rows), FILTERS), dtype=self.filters.dtype)
         for i in range(0, len(rows), step):
             out[i : i + step] = self.answers(rows[i : i + step]).max(axis=1)
         return out
 
+    def places(self, rows: np.ndarray, step: int = 24) -> tuple[np.ndarray, np.ndarray]:
+        """pooled(), and where in its chunk each of them is (the first of equals)."""
+        out, at = np.empty((len(rows), FILTERS), dtype=self.filters.dtype), np.empty((len(rows), FILTERS), dtype=np.int64)
+        for i in range(0, len(rows), step):
+            found = self.answers(rows[i : i + step])
+            at[i : i + step] = best = found.argmax(axis=1)
+            out[i : i + step] = np.take_along_axis(found, best[:, None, :], axis=1)[:, 0, :]
+        return out, at
+
     def chunk_scores(self, pooled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         first = np.tanh(pooled + self.bias)
         hidden = np.tanh(first @ self.inner + self.inner_bias)
@@ -80,10 +90,39 @@ class ByteCnn:
         mean, most = np.add.reduceat(scores, starts) / counts, np.maximum.reduceat(scores, starts)
         return 1 / (1 + np.exp(-(self.mix[0] * mean + self.mix[1] * most + self.mix[2])))
 
+    def score(self, texts: pa.Array) -> np.ndarray:
+        """The probabilities of texts, one at least."""
+        pooled = [self.pooled(chunks(text.as_py())) for text in texts]
+        counts = np.array([len(own) for own in pooled])
+        return self.probabilities(np.concatenate(pooled), np.cumsum(counts) - counts)
+
+
+def gradients(net: ByteCnn, docs: list[np.ndarray], labels: np.ndarray) -> list[np.ndarray]:
+    """Of the mean cross-entropy of whole documents (docs: all chunks of each) by each of net.parameters(). A filter
+    learns from the place of its greatest answer in each chunk."""
+    rows = np.concatenate(docs)
+    counts = np.array([len(own) for own in docs])
+    starts = np.cumsum(counts) - counts
+    pooled, at = net.places(rows)
+    one, two, scores = net.chunk_scores(pooled)
+    mean, most = np.add.reduceat(scores, starts) / counts, np.maximum.reduceat(scores, starts)
+    p = 1 / (1 + np.exp(-(net.mix[0] * mean + net.mix[1] * most + net.mix[2])))
+    error = (p - labels) / len(docs)
+    doc = np.repeat(np.arange(len(docs)), counts)
+    down = error[doc] * (net.mix[0] / counts[doc] + net.mix[1] * (scores == most[doc]))
+    d_two = down[:, None] * net.outer[None, :] * (1 - two * two)
+    d_one = (d_two @ net.inner.T) * (1 - one * one)
+    d_filters = np.zeros(net.filters.shape)
+    which = np.arange(FILTERS)[None, :]
+    for j in range(WIDTH):
+        index = rows[np.arange(len(rows))[:, None], at + j].astype(np.int64) * FILTERS + which
+        d_filters[j] = np.bincount(index.ravel(), weights=d_one.ravel(), minlength=256 * FILTERS).reshape(256, FILTERS)
+    return [d_filters, d_one.sum(axis=0), one.T @ d_two, d_two.sum(axis=0), two.T @ down, np.array([error @ mean, error @ most, error.sum()])]
+
 
 def train(docs: list[np.ndarray], labels: np.ndarray, *, steps: int = 2000, batch: int = 32, rate: float = 0.004, seed: int = 3) -> ByteCnn:
-    """docs: chunks of each document. Adam on the documents' cross-entropy; a filter learns from the place of its
-    greatest answer. Without documents of both labels every score is that label's share, or a half."""
+    """docs: all chunks of each document. Adam on the documents' cross-entropy. Without documents every score is a half,
+    with one label only it is near that label."""
     net = ByteCnn.new(seed)
     if not len(docs) or len(set(labels.tolist())) < 2:
         net.outer[:] = 0
@@ -96,53 +135,22 @@ def train(docs: list[np.ndarray], labels: np.ndarray, *, steps: int = 2000, batc
         if len(order) < batch:
             order = np.concatenate([order, rng.permutation(len(docs))])
         own, order = order[:batch], order[batch:]
-        rows = np.concatenate([docs[i] for i in own])
-        counts = np.array([len(docs[i]) for i in own])
-        starts = np.cumsum(counts) - counts
-        answers = net.answers(rows)
-        at = answers.argmax(axis=1)
-        pooled = np.take_along_axis(answers, at[:, None, :], axis=1)[:, 0, :]
-        one, two, scores = net.chunk_scores(pooled)
-        mean, most = np.add.reduceat(scores, starts) / counts, np.maximum.reduceat(scores, starts)
-        p = 1 / (1 + np.exp(-(net.mix[0] * mean + net.mix[1] * most + net.mix[2])))
-        error = (p - labels[own]) / len(own)
-        doc = np.repeat(np.arange(len(own)), counts)
-        greatest = scores == most[doc]
-        down = error[doc] * (net.mix[0] / counts[doc] + net.mix[1] * greatest)
-        d_two = down[:, None] * net.outer[None, :] * (1 - two * two)
-        d_one = (d_two @ net.inner.T) * (1 - one * one)
-        d_filters = np.zeros_like(net.filters)
-        which = np.arange(FILTERS)[None, :]
-        for j in range(WIDTH):
-            index = rows[np.arange(len(rows))[:, None], at + j].astype(np.int64) * FILTERS + which
-            d_filters[j] = np.bincount(index.ravel(), weights=d_one.ravel(), minlength=256 * FILTERS).reshape(256, FILTERS)
-        gradients = [d_filters, d_one.sum(axis=0), one.T @ d_two, d_two.sum(axis=0), two.T @ down, np.array([error @ mean, error @ most, error.sum()])]
         now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
-        for x, g, m, v in zip(params, gradients, first, second, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
+        for x, g, m, v in zip(params, gradients(net, [docs[i] for i in own], labels[own]), first, second, strict=True):
+            m += (0.1 * (g - m)).astype(np.float32)
+            v += (0.01 * (g * g - v)).astype(np.float32)
             x -= (now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, most: int = 8000, most_chunks: int = 12) -> ByteCnn:
-    """Learn `labels.quality` from at most `most` documents that aren't held out, and of each at most most_chunks chunks
-    evenly spread over it; both bound what the driver receives (about 25 MB)."""
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in batch.column(2):
-                own = chunks(text.as_py())
-                if len(own) > most_chunks:
-                    own = own[np.linspace(0, len(own) - 1, most_chunks).astype(np.int64)]
-                found.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, type=pa.binary())], names=["doc_id", "label", "bytes"])
-
-    sample = training_sample(docs, labels, "quality", most).select(F.col("doc_id").cast("long"), "label", "text")
-    rows = sorted((r.doc_id, r.label, bytes(r.bytes)) for r in sample.mapInArrow(pick, "doc_id long, label int, bytes binary").collect())
-    own = [np.frombuffer(b, dtype=np.uint8).reshape(-1, SPAN) for _, _, b in rows]
-    return train(own, np.array([label for _, label, _ in rows], dtype=np.float64))
+def fit(docs: DataFrame, labels: DataFrame, *, most: int = 8000, most_chars: int = 48_000_000) -> ByteCnn:
+    """Learn `labels.quality` from whole texts of at most `most` documents that aren't held out, as training_sample()
+    chooses them: one text for each id, null texts are empty and have one chunk, null ids and other columns take no part,
+    and no documents or labels give a score of a half. most and most_chars bound what the driver receives."""
+    sample = training_sample(docs, labels, "quality", most, most_chars)
+    rows = sample.toArrow().sort_by("doc_id")
+    own = [chunks(text.as_py()) for text in rows.column("text")]
+    return train(own, rows.column("label").to_numpy().astype(np.float64))
 
 
 def score_quality(docs: DataFrame, net: ByteCnn) -> DataFrame:
@@ -154,30 +162,16 @@ def score_quality(docs: DataFrame, net: ByteCnn) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = known.value
         for batch in batches:
-            pooled, counts = [], []
-            for text in batch.column(1):
-                own = net.pooled(chunks(text.as_py()))
-                pooled.append(own)
-                counts.append(len(own))
-            if counts:
-                starts = np.cumsum(counts) - counts
-                scores = net.probabilities(np.concatenate(pooled), starts)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores)], names=["doc_id", "held_out", "score"])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(net.score(batch.column(1)))], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), held_out().alias("held_out"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
 
 
 def keep_good(docs: DataFrame, net: ByteCnn, threshold: float) -> DataFrame:
-    """The rows of `docs` with a score of `threshold` or more, with all their columns."""
-    known, text = docs.sparkSession.sparkContext.broadcast(net), docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [known.value.pooled(chunks(x.as_py())) for x in batch.column(text)]
-            if own:
-                counts = np.array([len(x) for x in own])
-                scores = known.value.probabilities(np.concatenate(own), np.cumsum(counts) - counts)
-                yield batch.filter(pa.array(scores >= threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows of `docs` with a score of `threshold` or more, with all their columns, whatever these are called. Every
+    row is judged by its own text, so null and repeated doc_ids don't matter; a null text counts as empty. An empty table
+    gives no rows."""
+    known = docs.sparkSession.sparkContext.broadcast(net)
+    return rows_by_text(docs, lambda texts: known.value.score(texts) >= threshold)

@@ -17,15 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, training_sample
+from .labelled import held_out, rows_by_text, training_sample
 
 BUCKETS = 1 << 18
 #: Beginnings of these lengths count besides the word itself.
 BEGINNINGS = (4, 5, 6)
-#: A sentence ends at these; a longer run of words is cut.
-ENDS, LONGEST = re.compile(r"[.!?\n]+"), 40
+#: A sentence ends at these.
+ENDS = re.compile(r"[.!?\n]+")
 WORDS = re.compile(r"\w+")
-MEMO_ENTRIES = 600_000
+#: A worker remembers the weights of so many words of at most so many letters.
+MEMO_ENTRIES, MEMO_CHARS = 600_000, 64
 
 
 def word_features(word: str) -> list[int]:
@@ -36,11 +37,7 @@ def word_features(word: str) -> list[int]:
 
 def sentences(text: str | None) -> list[list[str]]:
     """The words of each sentence, in lower case; every word of the text is in one. No words: no sentences."""
-    out = []
-    for part in ENDS.split((text or "").lower()):
-        words = WORDS.findall(part)
-        out.extend(words[i : i + LONGEST] for i in range(0, len(words), LONGEST))
-    return out
+    return [words for part in ENDS.split((text or "").lower()) if (words := WORDS.findall(part))]
 
 
 @dataclass
@@ -61,7 +58,9 @@ class NoisyOr:
             for word in set(words):
                 one = memo.get(word)
                 if one is None:
-                    one = memo[word] = float(self.weights[word_features(word)].sum())
+                    one = float(self.weights[word_features(word)].sum())
+                    if len(word) <= MEMO_CHARS:
+                        memo[word] = one
                 total += one
             out[i] = total
         return out
@@ -72,6 +71,23 @@ class NoisyOr:
         return float(-np.expm1(-np.logaddexp(0, logits).sum())) if len(logits) else 0.0
 
 
+def gradients(
+    model: NoisyOr, features: np.ndarray, sizes: np.ndarray, counts: np.ndarray, labels: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the documents' mean negative log-likelihood: (weights that it changes, their gradients, each sentence's share of
+    the bias). features: buckets of all sentences one after another, sizes of them in each sentence, counts of sentences in
+    each document."""
+    begin = np.cumsum(sizes) - sizes
+    z = model.bias + np.add.reduceat(model.weights[features], begin)
+    total = np.add.reduceat(np.logaddexp(0, z), np.cumsum(counts) - counts)
+    # by a document's sum of softplus, then by each sentence's logit
+    outer = np.where(labels > 0, -1 / np.maximum(np.expm1(np.minimum(total, 50)), 1e-4), 1.0) / len(labels)
+    down = np.repeat(outer, counts) / (1 + np.exp(-z))
+    gradient = np.bincount(features, weights=np.repeat(down, sizes), minlength=BUCKETS)
+    touched = np.flatnonzero(gradient)
+    return touched, gradient[touched], down
+
+
 def train(
     features: np.ndarray, sentence_starts: np.ndarray, doc_starts: np.ndarray, labels: np.ndarray, *, epochs: int = 40,
     batch: int = 64, rate: float = 0.4, penalty: float = 2e-4, seed: int = 5,
@@ -79,7 +95,7 @@ def train(
     """features: buckets of all sentences one after another; sentence_starts: where each sentence's begin; doc_starts:
     the first sentence of each document. Steps by AdaGrad on the documents' likelihood, each followed by shrinking the
     weights by the penalty. Without documents nothing is toxic; with one label only the bias moves."""
-    weights, bias = np.zeros(BUCKETS), -5.0
+    model = NoisyOr(np.zeros(BUCKETS), -5.0)
     square, bias_square = np.full(BUCKETS, 1e-6), 1e-6
     ends, doc_ends = np.append(sentence_starts[1:], len(features)), np.append(doc_starts[1:], len(sentence_starts))
     rng = np.random.default_rng(seed)
@@ -87,31 +103,24 @@ def train(
         order = rng.permutation(len(labels))
         for i in range(0, len(order), batch):
             own = order[i : i + batch]
-            counts = doc_ends[own] - doc_starts[own]
             lines = np.concatenate([np.arange(doc_starts[d], doc_ends[d]) for d in own])
-            sizes = ends[lines] - sentence_starts[lines]
-            begin = np.cumsum(sizes) - sizes
-            index = features[np.arange(sizes.sum()) + np.repeat(sentence_starts[lines] - begin, sizes)]
-            z = bias + np.add.reduceat(weights[index], begin)
-            rate_sum = np.add.reduceat(np.logaddexp(0, z), np.cumsum(counts) - counts)
-            y = labels[own]
-            # of the likelihood by a document's sum of softplus, then by each sentence's logit
-            outer = np.where(y > 0, -1 / np.maximum(np.expm1(np.minimum(rate_sum, 50)), 1e-4), 1.0) / len(own)
-            down = np.repeat(outer, counts) / (1 + np.exp(-z))
-            gradient = np.bincount(index, weights=np.repeat(down, sizes), minlength=BUCKETS)
-            square += gradient * gradient
-            step = rate / np.sqrt(square)
-            moved = weights - step * gradient
-            weights = np.where(gradient != 0, np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0), weights)
+            index = np.concatenate([features[sentence_starts[doc_starts[d]] : ends[doc_ends[d] - 1]] for d in own])
+            touched, gradient, down = gradients(model, index, ends[lines] - sentence_starts[lines], doc_ends[own] - doc_starts[own], labels[own])
+            square[touched] += gradient * gradient
+            step = rate / np.sqrt(square[touched])
+            moved = model.weights[touched] - step * gradient
+            model.weights[touched] = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0)
             g = down.sum()
             bias_square += g * g
-            bias -= rate * g / np.sqrt(bias_square)
-    return NoisyOr(weights, float(bias))
+            model.bias = float(model.bias - rate * g / np.sqrt(bias_square))
+    return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, most: int = 10_000, longest: int = 12_000) -> NoisyOr:
-    """Learn `labels.toxic` from at most `most` documents of at most `longest` characters that aren't held out. The
-    executors send buckets of features, about 5 KB for a document."""
+def fit(docs: DataFrame, labels: DataFrame, *, most: int = 10_000, most_chars: int = 48_000_000) -> NoisyOr:
+    """Learn `labels.toxic` from whole texts of at most `most` documents that aren't held out, as training_sample()
+    chooses them: one text for each id, null ids and other columns take no part. Texts without words teach nothing; with
+    nothing to learn from, no text is toxic. The executors send buckets of features, about 2.5 bytes for a character, so
+    most and most_chars bound what the driver receives."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = 10_000, longest: int
                 names=["doc_id", "label", "features", "lengths"],
             )
 
-    sample = training_sample(docs, labels, "toxic", most, longest).select(F.col("doc_id").cast("long"), "label", "text")
+    sample = training_sample(docs, labels, "toxic", most, most_chars)
     rows = sample.mapInArrow(pick, "doc_id long, label int, features binary, lengths binary").toArrow().sort_by([("doc_id", "ascending"), ("features", "ascending")])
     if not rows.num_rows:
         return NoisyOr(np.zeros(BUCKETS), -20.0)
@@ -155,8 +164,8 @@ def score_toxicity(docs: DataFrame, model: NoisyOr) -> DataFrame:
 
 def offending_sentences(docs: DataFrame, model: NoisyOr, threshold: float = 0.5) -> DataFrame:
     """(doc_id, begin, end, sentence, score) of every sentence whose own probability is `threshold` or more; begin and
-    end are code points of the text. Null and empty texts have none. A sentence of over 40 words is judged by its most
-    probable run of 40."""
+    end are code points of the text. Null and empty texts have none; a doc_id, null or repeated, is passed on as it is; other
+    columns are ignored; an empty table gives no rows."""
     known = docs.sparkSession.sparkContext.broadcast(model)
     whole = re.compile(r"[^.!?\n]+")
 
@@ -166,9 +175,9 @@ def offending_sentences(docs: DataFrame, model: NoisyOr, threshold: float = 0.5)
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for m in whole.finditer(text or ""):
                     logits = known.value.logits(sentences(m[0]))
-                    score = 1 / (1 + np.exp(-logits.max())) if len(logits) else 0.0
+                    score = float(1 / (1 + np.exp(-logits[0]))) if len(logits) else 0.0
                     if score >= threshold:
-                        out.append((doc_id, m.start(), m.end(), m[0], float(score)))
+                        out.append((doc_id, m.start(), m.end(), m[0], score))
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "begin", "end", "sentence", "score"])
@@ -178,11 +187,8 @@ def offending_sentences(docs: DataFrame, model: NoisyOr, threshold: float = 0.5)
 
 
 def drop_toxic(docs: DataFrame, model: NoisyOr, threshold: float) -> DataFrame:
-    """The rows of `docs` with a score below `threshold`, with all their columns."""
-    known, text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([known.value.score(x.as_py()) < threshold for x in batch.column(text)], type=pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows of `docs` with a score below `threshold`, with all their columns, whatever these are called. Every row
+    is judged by its own text, so null and repeated doc_ids don't matter; texts without words, null ones too, have score
+    0. An empty table gives no rows."""
+    known = docs.sparkSession.sparkContext.broadcast(model)
+    return rows_by_text(docs, lambda texts: np.array([known.value.score(text.as_py()) < threshold for text in texts]))
