@@ -1,11 +1,12 @@
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
 
 from plumbline.llm.pivot_lists import near_duplicate_vectors
 from plumbline.llm.queries import QUERIES
-from plumbline.llm.topk import top_k
+from plumbline.llm.topk import LOWEST, Block, scaled, top_k
 from pyspark.sql import functions as F
 
 
@@ -14,11 +15,15 @@ def ok(v):
 
 
 def slow_top_k(rows, takes, k=10):
-    own = [(i, np.floor(1024 * np.asarray(v, dtype=np.float64)).astype(np.int64)) for i, v in rows if i is not None and ok(v)]
+    """In whole numbers of any size; scores are the nearest longs."""
+    own = [(i, [math.floor(Fraction(x) * 1024) for x in v]) for i, v in rows if i is not None and ok(v)]
+    small = all(abs(x) < 1 << 25 for _, v in own for x in v)
+    table = [(i, np.array(v, dtype=np.int64 if small else object)) for i, v in own]
+    score = lambda x, y: min(max(int((x * y).sum()), -(1 << 63)), (1 << 63) - 1)
     out = set()
-    for q, x in own:
+    for q, x in table:
         if takes(q):
-            found = sorted((-int(x @ y), i) for i, y in own if i != q and len(x) == len(y))[:k]
+            found = sorted((-score(x, y), i) for i, y in table if i != q and len(x) == len(y))[:k]
             out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(found)}
     return out
 
@@ -74,9 +79,10 @@ def test_top_k_with_odd_rows(spark):
     ]
     df = spark.createDataFrame([(i, v, "x", 5) for i, v in rows], "vec_id long, embedding array<double>, block string, score int")
     got = sorted(tuple(r) for r in top_k(df, F.col("vec_id") % 100 == 0).collect())
-    five, both = 5 * 1024 * 1024, 6 * 1024 * 1024
+    five, both, far = 5 * 1024 * 1024, 6 * 1024 * 1024, 10**9 * 1024 * 1024
     assert got == [
-        (0, 1, 7, five), (0, 2, 7, five), (0, 3, 100, five), (100, 1, 0, five), (100, 2, 7, five), (100, 3, 7, five), (200, 1, 6, both),
+        (0, 1, 8, far), (0, 2, 7, five), (0, 3, 7, five), (0, 4, 100, five),
+        (100, 1, 8, far), (100, 2, 0, five), (100, 3, 7, five), (100, 4, 7, five), (200, 1, 6, both),
     ]
     assert top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
@@ -90,8 +96,40 @@ def test_top_k_keeps_vectors_whose_scores_fit_a_long(spark):
     assert (500, 1, 501, -(2_969_600_000**2) + 3) in want
     for block_rows in (40, 8192):
         assert {tuple(r) for r in top_k(df, F.col("vec_id") % 20 == 0, block_rows=block_rows, pivots=8).collect()} == want
-    over = spark.createDataFrame([(0, [1.0, 2.0]), (1, [-1e30, 0.0]), (2, [4e6, 0.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
-    assert [r.vec_id for r in top_k(over, F.col("vec_id") == 0).collect()] == [3]
+
+
+def test_top_k_keeps_every_finite_vector(spark):
+    """Components of 2e4, 1e9 and up to the largest double, among many that fit."""
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=2)).tolist()) for i in range(120)]
+    rows += [(200, [20_000.0, 0.0]), (201, [1e9, 0.5]), (202, [-1e30, 1.0]), (203, [1.7e308, -1.7e308]), (204, [4e6, 0.0]), (205, [3e153, 1.0]), (220, [-2e9, 3e9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = slow_top_k(rows, lambda i: i % 20 == 0)
+    assert any(s == (1 << 63) - 1 for _, _, _, s in want)
+    for block_rows in (20, 8192):
+        assert {tuple(r) for r in top_k(df, F.col("vec_id") % 20 == 0, block_rows=block_rows, pivots=8).collect()} == want
+
+
+def test_copies_of_one_row_lie_in_several_blocks(spark):
+    rows = [(1, [1.0, 0.0])] * 60 + [(0, [1.0, 1.0]), (2, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = sorted(tuple(r) for r in top_k(df, F.col("vec_id") == 0, block_rows=8).collect())
+    assert got == [(0, 1, 2, 2 << 20), *[(0, r, 1, 1 << 20) for r in range(2, 11)]]
+
+
+def test_bounds_stop_the_search():
+    """On a table of which half are pivots most candidates are never scored; what is found stays exact."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    block = Block(scaled(x[rng.permutation(2000)[:1000]]))
+    block.add(np.arange(2000), x)
+    whole = np.floor(1024 * x).astype(np.int64)
+    for q in range(0, 2000, 100):
+        ids, scores = block.search(q, x[q], 10, LOWEST)
+        want = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)[:10]
+        assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)] == want
+    assert block.scored < 0.6 * block.met
 
 
 def test_top_k_query_against_brute_force(spark):
