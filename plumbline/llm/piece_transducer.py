@@ -1,18 +1,26 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-Three machines are composed with each input: the normaliser (a dummy space in front, spaces as U+2581), the pieces, and
-the byte fallback for characters that no piece has. The model is a byte-pair encoding, in which the path with the best
-sum of piece scores isn't the encoding; so the weights lie on pairs. A state remembers the last piece, and an arc has
-weight 0 if the two pieces stay apart when they are merged as one string, and infinity otherwise. A row of pieces is the
-encoding exactly if all its neighbours stay apart, so the shortest path in the tropical semiring (min, +) is the only
-finite one. As prefixes of an encoding are encodings, one finite state is left at each place of the input.
+Three machines are compiled from a model and composed with each input:
+
+* the normaliser, which rewrites the longest rule that begins at a character (else copies it), puts a dummy space in
+  front, writes spaces as U+2581 and, where the model asks for it, drops spaces that are too many;
+* the pieces, a prefix tree whose final states emit an id;
+* the byte fallback, which emits the ids of a character's bytes where no piece has it.
+
+The encoding is the shortest path in the tropical semiring: weights add up along a path (plus), and of the paths to a
+state the least stays (min). In a unigram model an arc weighs what its piece's score says. In a byte-pair encoding the
+best sum of scores isn't the encoding, so there a state also remembers the last piece, and an arc weighs 0 if the two
+pieces stay apart when they are merged as one string, and infinity otherwise: a row of pieces is the encoding exactly if
+all its neighbours stay apart. As prefixes of an encoding are encodings, one state of finite weight is left at each place.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,32 +32,91 @@ from .tokens import blocks
 SPACE = "▁"
 #: No piece has a space behind another character: paths of these units don't depend on each other.
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-UNITS_MOST, PAIRS_MOST = 500_000, 2_000_000
+#: A worker remembers so many units of at most so many characters, and so many weights of pairs.
+UNITS_MOST, UNIT_CHARS, PAIRS_MOST = 500_000, 64, 2_000_000
 INFINITY = float("inf")
+UNIGRAM, BPE = 1, 2
+#: What the library puts on a character that no piece has, and on pieces that the user has defined.
+UNKNOWN_PENALTY, USER_BONUS = 10.0, 0.1
+
+
+def charsmap_rules(blob: bytes) -> dict[str, str]:
+    """The rewriting rules in a model's compiled character map: a double array of byte strings whose values are places in
+    a list of null-ended strings."""
+    if not blob:
+        return {}
+    (size,) = struct.unpack_from("<I", blob)
+    units, texts = np.frombuffer(blob, dtype="<u4", count=size // 4, offset=4).tolist(), blob[4 + size :]
+    out: dict[str, str] = {}
+
+    def walk(node: int, so_far: bytes) -> None:
+        unit = units[node]
+        base = node ^ ((unit >> 10) << ((unit & 1 << 9) >> 6))
+        if unit >> 8 & 1:  # a leaf hangs here
+            at = units[base] & 0x7FFFFFFF
+            out[so_far.decode()] = texts[at : texts.index(b"\0", at)].decode()
+        for label in range(1, 256):
+            child = base ^ label
+            if child < len(units) and units[child] & 0x800000FF == label:
+                walk(child, so_far + bytes([label]))
+
+    walk(0, b"")
+    return out
+
+
+class Normaliser:
+    """The first machine: text in, text with U+2581 for spaces out."""
+
+    def __init__(self, rules: dict[str, str], dummy_prefix: bool, single_spaces: bool, escape: bool) -> None:
+        self.rules, self.dummy_prefix, self.single_spaces = rules, dummy_prefix, single_spaces
+        self.space = SPACE if escape else " "
+        first = sorted(rules, key=len, reverse=True)  # the longest rule that begins at a place is taken
+        self.arcs = re.compile("|".join(map(re.escape, first))) if rules else None
+
+    def __call__(self, text: str) -> str:
+        if self.arcs is not None:
+            text = self.arcs.sub(lambda m: self.rules[m[0]], text)
+        if self.single_spaces:
+            text = re.sub(" +", " ", text).strip(" ")
+        if not text:
+            return ""
+        return (self.space if self.dummy_prefix else "") + text.replace(" ", self.space)
 
 
 class PieceTransducer:
+    """The machines of the model file at `path`, a unigram model or a byte-pair encoding."""
+
     def __init__(self, path: str) -> None:
-        import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.text, self.rank, self.bytes = {}, {}, [b""] * model.get_piece_size()
+        model = sentencepiece_model_pb2.ModelProto.FromString(Path(path).read_bytes())
+        kinds, spec, trainer = sentencepiece_model_pb2.ModelProto.SentencePiece, model.normalizer_spec, model.trainer_spec
+        if trainer.model_type not in (UNIGRAM, BPE) or trainer.treat_whitespace_as_suffix:
+            raise ValueError("only unigram models and byte-pair encodings whose spaces come first are supported")
+        self.unigram = trainer.model_type == UNIGRAM
+        self.normalise = Normaliser(charsmap_rules(spec.precompiled_charsmap), spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
+        self.text, self.cost, self.bytes = {}, {}, [b""] * len(model.pieces)
         self.byte_piece = [0] * 256
-        for i in range(model.get_piece_size()):
-            piece = model.id_to_piece(i)
-            if model.is_byte(i):
-                self.byte_piece[int(piece[3:5], 16)] = i
-                self.bytes[i] = bytes([int(piece[3:5], 16)])
-            elif model.is_unknown(i):
-                self.bytes[i] = " ⁇ ".encode()
-            elif not model.is_control(i) and not model.is_unused(i):
-                self.text[piece] = i
-                self.rank[piece] = -model.get_score(i)
-                self.bytes[i] = piece.replace(SPACE, " ").encode()
+        self.unknown, self.user = 0, set()
+        scores = [p.score for p in model.pieces if p.type == kinds.NORMAL] or [0.0]
+        for i, p in enumerate(model.pieces):
+            if p.type == kinds.BYTE:
+                self.byte_piece[int(p.piece[3:5], 16)] = i
+                self.bytes[i] = bytes([int(p.piece[3:5], 16)])
+            elif p.type == kinds.UNKNOWN:
+                self.unknown, self.bytes[i] = i, (trainer.unk_surface if trainer.HasField("unk_surface") else " ⁇ ").encode()
+            elif p.type in (kinds.NORMAL, kinds.USER_DEFINED):
+                self.text[p.piece], self.cost[p.piece] = i, -p.score
+                self.bytes[i] = p.piece.replace(SPACE, " ").encode()
+                if p.type == kinds.USER_DEFINED:
+                    self.user.add(p.piece)
+                    self.cost[p.piece] = USER_BONUS - len(p.piece) * max(scores)
+        self.fallback = trainer.byte_fallback
+        if self.user and not self.unigram or any(SPACE in p.lstrip(SPACE) for p in self.text):
+            raise ValueError("pieces with a space inside, and pieces of a user in a byte-pair encoding, are not supported")
+        self.unknown_cost = UNKNOWN_PENALTY - min(scores)
         #: Little-endian ids of each piece, and of characters that the byte fallback has met.
         self.packed = {p: i.to_bytes(4, "little") for p, i in self.text.items()}
-        if any(SPACE in p.lstrip(SPACE) for p in self.text):
-            raise ValueError("a piece has a space inside; units would depend on each other")
         #: Beginnings of pieces: the states of the piece machine, and whether each is final. A character alone always is:
         #: the byte fallback takes it if no piece does.
         self.states = {p[:n]: n == 1 for p in self.text for n in range(1, len(p) + 1)}
@@ -62,7 +129,7 @@ class PieceTransducer:
         """Byte-pair merges of a short string, the best-ranked pair first, of equals the leftmost."""
         parts = list(text)
         while len(parts) > 1:
-            ranks = [self.rank.get(a + b, INFINITY) for a, b in zip(parts, parts[1:], strict=False)]
+            ranks = [self.cost.get(a + b, INFINITY) for a, b in zip(parts, parts[1:], strict=False)]
             best = min(ranks)
             if best == INFINITY:
                 break
@@ -72,6 +139,8 @@ class PieceTransducer:
 
     def weight(self, last: str, piece: str) -> float:
         """Of the arc for `piece` from the state that remembers `last` (empty: the beginning)."""
+        if self.unigram:
+            return self.cost.get(piece, self.unknown_cost)
         own = self.arcs.setdefault(last, {})
         known = own.get(piece)
         if known is None:
@@ -81,22 +150,27 @@ class PieceTransducer:
         return known
 
     def shortest_path(self, unit: str) -> list[str]:
-        """The pieces, or characters left to the byte fallback, of the only finite path."""
-        n, states = len(unit), self.states
+        """The pieces, or characters left to the byte fallback, of the path with the least weight; of equals the one whose
+        last piece begins first. At each place the arcs of all pieces that begin there are relaxed."""
+        n, states, weight = len(unit), self.states, self.weight
+        least = [0.0, *[INFINITY] * n]
         last: list = ["", *[None] * n]
         back = [0] * (n + 1)
         for j in range(n):
-            before = last[j]
-            arcs = self.arcs.setdefault(before, {})
+            so_far, before = least[j], last[j]
+            if before is None:
+                continue  # no finite path comes here
+            arcs = self.cost if self.unigram else self.arcs.setdefault(before, {})
             for i in range(j + 1, n + 1):
                 piece = unit[j:i]
                 final = states.get(piece)
                 if final is None and i > j + 1:
                     break
-                if final is not False and last[i] is None:
-                    weight = arcs.get(piece)
-                    if (self.weight(before, piece) if weight is None else weight) == 0.0:
-                        last[i], back[i] = piece, j
+                if final is not False and so_far < least[i]:
+                    own = arcs.get(piece)
+                    total = so_far + (weight(before, piece) if own is None else own)
+                    if total < least[i]:
+                        least[i], last[i], back[i] = total, piece, j
                 if final is None:
                     break
         out, i = [], n
@@ -110,8 +184,12 @@ class PieceTransducer:
         for piece in self.shortest_path(unit):
             ids = known.get(piece)
             if ids is None:  # the byte fallback's pieces
-                ids = known[piece] = b"".join(self.byte_piece[b].to_bytes(4, "little") for b in piece.encode("utf-8", "surrogatepass"))
+                found = [self.byte_piece[b] for b in piece.encode("utf-8", "surrogatepass")] if self.fallback else [self.unknown]
+                ids = known[piece] = b"".join(i.to_bytes(4, "little") for i in found)
             out.append(ids)
+        if not self.fallback:  # neighbours without a piece are one unknown
+            none = self.unknown.to_bytes(4, "little")
+            out = [ids for k, ids in enumerate(out) if not (k and ids == none and out[k - 1] == none)]
         return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
@@ -123,15 +201,21 @@ class PieceTransducer:
             self.units = short if 2 * len(short) < UNITS_MOST else {}
         if self.pairs > PAIRS_MOST:
             self.arcs, self.pairs = {}, 0
-        units, found = self.units, UNIT.findall(SPACE + text.replace(" ", SPACE))
+        units, found = self.units, UNIT.findall(self.normalise(text))
+        long = []
         for unit in set(found).difference(units):
             units[unit] = self._unit(unit)
-        return b"".join(map(units.__getitem__, found))
+            if len(unit) > UNIT_CHARS:
+                long.append(unit)
+        out = b"".join(map(units.__getitem__, found))
+        for unit in long:
+            del units[unit]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of little-endian ids: the dummy space is dropped, bytes that aren't UTF-8 become U+FFFD."""
         data = b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
-        return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
+        return (data[1:] if self.normalise.dummy_prefix and data[:1] == b" " else data).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)

@@ -53,6 +53,84 @@ def test_the_path_is_the_only_finite_one():
         assert list(paths(unit)) == [OWN.shortest_path(unit)] == [LIBRARY.encode(unit[1:] if unit[0] == "▁" else unit, out_type=str)] or unit == "ation"
 
 
+def own_model(tmp_path, pieces, unigram=True, charsmap=b"", fallback=True, **spec):
+    """A model with given pieces and scores, not a trained one; its file, and the library that has read it."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    kinds = pb.ModelProto.SentencePiece
+    for text, kind in (("<unk>", kinds.UNKNOWN), ("<s>", kinds.CONTROL), ("</s>", kinds.CONTROL)):
+        model.pieces.add(piece=text, score=0, type=kind)
+    if fallback:
+        for b in range(256):
+            model.pieces.add(piece=f"<0x{b:02X}>", score=0, type=kinds.BYTE)
+    for text, score in pieces.items():
+        model.pieces.add(piece=text, score=score, type=kinds.NORMAL)
+    model.trainer_spec.model_type = 1 if unigram else 2
+    model.trainer_spec.byte_fallback = fallback
+    model.normalizer_spec.precompiled_charsmap = charsmap
+    for name, value in {"add_dummy_prefix": True, "remove_extra_whitespaces": False, "escape_whitespaces": True, **spec}.items():
+        setattr(model.normalizer_spec, name, value)
+    path = tmp_path / "own.model"
+    path.write_bytes(model.SerializeToString())
+    return PieceTransducer(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+def test_a_unigram_model_with_real_weights(tmp_path, fallback):
+    rng = random.Random(2)
+    pieces = {p: rng.uniform(-12, -2) for p in ["▁", *"abcdeèst"]}
+    for _ in range(400):
+        pieces.setdefault(rng.choice(["", "▁"]) + "".join(rng.choice("abcdest") for _ in range(rng.randint(1, 5))), rng.uniform(-14, -3))
+    own, library = own_model(tmp_path, pieces, fallback=fallback)
+    same = 0
+    for _ in range(2000):
+        text = "".join(rng.choice("abcdest aabbcc 日") for _ in range(rng.randint(1, 40)))
+        got, want = np.frombuffer(own.encode(text), dtype="<u4").tolist(), library.encode(text)
+        # pieces in another order weigh the same; the library then goes by the last bit of a float
+        assert got == want or sorted(got) == sorted(want), text
+        same += got == want
+    assert same > 1900
+    assert own.decode(own.encode("abc dé")) == library.decode(library.encode("abc dé"))
+
+
+def test_least_weight_of_all_paths(tmp_path):
+    rng = random.Random(3)
+    pieces = {p: rng.uniform(-9, -1) for p in ["a", "b", "ab", "ba", "aab", "bb", "abab", "▁", "▁a", "▁ab"]}
+    own, _ = own_model(tmp_path, pieces)
+
+    def cheapest(unit):
+        return min((own.cost[unit[:n]] + cheapest(unit[n:]) for n in range(1, len(unit) + 1) if unit[:n] in own.cost), default=float("inf")) if unit else 0.0
+
+    for _ in range(200):
+        unit = "▁" + "".join(rng.choice("ab") for _ in range(rng.randint(1, 9)))
+        path = own.shortest_path(unit)
+        assert "".join(path) == unit and np.isclose(sum(own.cost[p] for p in path), cheapest(unit))
+
+
+def test_the_models_normaliser_is_compiled(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    trained = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc_cf")
+    blob = pb.ModelProto.FromString(trained.serialized_model_proto()).normalizer_spec.precompiled_charsmap
+    pieces = {p: -5.0 - k / 10 for k, p in enumerate(["▁", *"abcdefiklmnorstu", "▁a", "fi", "12", "1", "2", "ss"])}
+    own, library = own_model(tmp_path, pieces, charsmap=blob, remove_extra_whitespaces=True)
+    texts = ["ﬁ Ａ①②  Straße", "  a  b ", "e\u0301\u00a0K", "\u3000ｆｉ", "ab\tcd\nef", "", "   ", "Å ½ ㎏"]
+    for text in texts:
+        assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == library.encode(text), text
+    rng = random.Random(7)
+    for _ in range(500):
+        text = "".join(rng.choice("ＡＢａ①ﬁß é\u0301 ½\u00a0xyz  ") for _ in range(rng.randint(1, 20)))
+        assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == library.encode(text), text
+
+
+def test_long_units_are_forgotten():
+    machine = PieceTransducer(MODEL)
+    for i in range(5):
+        assert np.frombuffer(machine.encode(f"{i}" + "ab" * 20_000), dtype="<u4").tolist() == LIBRARY.encode(f"{i}" + "ab" * 20_000)
+    assert sum(map(len, machine.units)) < 1000
+
+
 def test_query_against_the_library(spark):
     at = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
