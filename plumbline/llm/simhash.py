@@ -3,12 +3,12 @@
 A tree over a sample splits Hamming space by distances to vantage points. Every fingerprint lives in the shard of its
 leaf and, where the triangle inequality can't rule out a partner across a boundary, also visits later shards. A second
 tree inside each shard finds all pairs within the radius; a shard returns a spanning forest of them, never the pairs.
-Equal fingerprints are one node, so copies cost nothing more.
+A shard that turns out larger than its sample promised is dealt to parts, and two parts at a time to a task. Equal
+fingerprints are one node, so copies cost nothing more.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .storage import materialize
 
-#: A word: neither space nor tab to carriage return; the same that bytes.split() takes.
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SHINGLE_WORDS, SEED = 3, 42
 
 
@@ -30,6 +28,7 @@ def fingerprint(text: str | None) -> int:
     """Unsigned 64 bits; zero for a text without words, null included."""
     import xxhash
 
+    # split() cuts bytes at spaces and from tab to carriage return
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
@@ -51,7 +50,9 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp holds the fingerprint's 64 bits as a signed long."""
+    """(doc_id, fp) of each row of `docs` (doc_id, text): fp holds the fingerprint's 64 bits as a signed long, zero for a
+    null or empty text. Null and repeated doc_ids stay as they are. Other columns are ignored; an empty table gives no
+    rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,17 +183,19 @@ def shard_forest(fp: np.ndarray, home: np.ndarray, radius: int, leaf_rows: int =
 
 
 def link_fingerprints(
-    nodes: DataFrame, *, radius: int = 2, shard_rows: int = 16_384, sample_per_shard: int = 64, sample_most: int = 262_144
+    nodes: DataFrame, *, radius: int = 2, shard_rows: int = 8192, sample_per_shard: int = 64, sample_most: int = 1 << 22
 ) -> DataFrame:
     """Spanning edges (a, b) of all pairs of `nodes` (fp, rep: distinct both, no nulls) whose fp differ in at most
-    `radius` bits. The shards' tree is built on the driver from at most sample_most fingerprints: those with the
-    smallest hashes. Every fingerprint is compared; the sample only places the boundaries."""
+    `radius` bits; no nodes give no edges. The shards' tree is built on the driver from at most sample_most fingerprints:
+    those with the smallest hashes. Every fingerprint is compared; the sample only places the boundaries. No task gets
+    much more than four times shard_rows rows, whatever the sample missed: a shard of more than twice shard_rows is cut
+    into parts by a hash, and each two of its parts meet in a task."""
     spark = nodes.sparkSession
     rows = nodes.count()
     shards = max(1, -(-rows // shard_rows))
     most = min(sample_most, sample_per_shard * shards)
-    sample = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(most).collect() if shards > 1 else []
-    values = np.array([r.fp for r in sample], dtype=np.int64).view(np.uint64)
+    sample = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(most).toArrow().column(0) if shards > 1 else pa.array([], type=pa.int64())
+    values = sample.to_numpy().view(np.uint64)
     tree = spark.sparkContext.broadcast(VantageTree.build(values, max(1, most // shards), radius))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,10 +218,16 @@ def link_fingerprints(
         return pd.DataFrame({"a": rep[bound], "b": rep[root[bound]]})
 
     routed = nodes.select("fp", "rep").mapInArrow(route, "shard long, fp long, rep long, home boolean")
-    return routed.groupBy("shard").applyInPandas(link, "a long, b long")
+    # one row for each shard: a row for shard_rows fingerprints
+    sizes = routed.groupBy("shard").agg(F.count("*").alias("n"))
+    parts = sizes.select("shard", F.when(F.col("n") > 2 * shard_rows, F.ceil(F.col("n") / shard_rows)).otherwise(1).cast("int").alias("parts"))
+    placed = routed.join(F.broadcast(parts), "shard").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least("own", p).alias("low"), F.greatest("own", p).alias("high")))
+    dealt = placed.withColumn("tile", F.explode(others)).select("shard", "tile.low", "tile.high", "fp", "rep", "home")
+    return dealt.groupBy("shard", "low", "high").applyInPandas(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, radius: int = 2, shard_rows: int = 16_384) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, radius: int = 2, shard_rows: int = 8192) -> DataFrame:
     """(doc_id, fp, component_id) for every row of `docs` (doc_id, text; other columns are ignored).
 
     Rows link when their fingerprints differ in at most `radius` bits; component_id is the smallest doc_id that links
@@ -229,6 +238,7 @@ def near_duplicates(docs: DataFrame, *, radius: int = 2, shard_rows: int = 16_38
     each = materialize(fingerprints(docs), "fingerprints")
     nodes = materialize(each.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-nodes")
     parts = connected_components(link_fingerprints(nodes, radius=radius, shard_rows=shard_rows))
+    # none of these tables is dropped: the result reads them
     labels = nodes.join(parts, nodes.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     named = each.join(labels, "fp", "left")
     return named.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

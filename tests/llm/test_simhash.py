@@ -1,11 +1,11 @@
 import random
+import re
 
 import numpy as np
 import pytest
 import xxhash
 
 from plumbline.llm.simhash import (
-    WORD,
     VantageTree,
     fingerprint,
     keep_representatives,
@@ -16,6 +16,9 @@ from plumbline.llm.simhash import (
 from plumbline.llm.components import connected_components
 
 
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
 def slow_fingerprint(text):
     words = WORD.findall((text or "").encode().lower())
     shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
@@ -101,6 +104,23 @@ def test_shards_together_are_exact(spark):
     assert edges.count() < 3 * len(values)
 
 
+def test_a_dense_shard_is_dealt_to_parts(spark):
+    """Fingerprints a few bits from one centre, which no tree can part, and a sample that sees one shard only."""
+    rng, centre, values = random.Random(4), 0x0123456789ABCDEF, set()
+    while len(values) < 900:
+        x = centre
+        for b in rng.sample(range(64), rng.randint(0, 5)):
+            x ^= 1 << b
+        values.add(x)
+    values = sorted(values) + clustered(100, 5)
+    signed = [(v - 2**64 if v >= 2**63 else v, i) for i, v in enumerate(values)]
+    edges = link_fingerprints(spark.createDataFrame(signed, "fp long, rep long").repartition(3), shard_rows=100, sample_per_shard=2)
+    got = {r.node: r.component for r in connected_components(edges).collect()}
+    want = slow_components(dict(enumerate(values)))
+    assert {k: got.get(k, k) for k in want} == want
+    assert link_fingerprints(spark.createDataFrame([], "fp long, rep long")).count() == 0
+
+
 def test_long_chain_of_links(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(500, 500), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
