@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, rows_by_text, training_sample
+from .storage import drop
 
 WIDTH, FILTERS, HIDDEN, CHUNK = 5, 24, 16, 256
 #: Bytes that a chunk spans: CHUNK places for a filter to begin at.
@@ -149,6 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = 8000, most_chars: int
     and no documents or labels give a score of a half. most and most_chars bound what the driver receives."""
     sample = training_sample(docs, labels, "quality", most, most_chars)
     rows = sample.toArrow().sort_by("doc_id")
+    drop(sample)
     own = [chunks(text.as_py()) for text in rows.column("text")]
     return train(own, rows.column("label").to_numpy().astype(np.float64))
 

@@ -135,7 +135,9 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 def read_back(examples: DataFrame) -> DataFrame:
     """A row for each conversation, from its examples alone as format_conversations() leaves them (in order and side by
     side): n_turns and the digest of the turns from the last example, characters and digest of all text under the masks
-    without escapes, and the characters of all examples."""
+    without escapes, and the characters of all examples. A null conv_id is a conversation like any other, other columns are
+    ignored, and no examples give no rows. Nothing may come between the two steps that deals rows anew: it follows
+    format_conversations() in the same task, or reads files that were written from it one for one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def digests() -> Iterator[tuple]:

@@ -9,7 +9,7 @@ from .storage import drop, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every end of an edge; component is the smallest node that links lead to.
+    """(node, component) for every end of an edge, as a table for drop(); component is the smallest node that links lead to.
 
     edges: two long columns `a` and `b`. Nulls and loops are dropped, repeats don't matter, no edges give no rows.
     Large-star and small-star steps alternate until the edges stay the same; each round goes to a table in the shared
@@ -36,7 +36,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now, before, seen = after, seen, _digest(after)
         if before == seen:
             break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+    out = materialize(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct()), "components")
+    drop(now)
+    return out
 
 
 def _digest(edges: DataFrame) -> tuple:

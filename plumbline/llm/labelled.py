@@ -23,7 +23,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, column: str, most: int,
 
     label: the least of the ids' labels in `column`, 0 or 1; rows without one don't count. An id on several rows of
     `docs` is one document, by the text with the smallest hash. Null texts are empty, null ids take no part, other
-    columns are ignored, and without documents or labels there are no rows. The ids, `most` at the most, are sent to
+    columns are ignored, and without documents or labels there are no rows. A table holds the texts until drop(). The ids, `most` at the most, are sent to
     all tasks.
     """
     rated = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
@@ -37,7 +37,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, column: str, most: int,
     lengths = found.select("doc_id", F.length("text").cast("long").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     within = lengths.select("doc_id", before.alias("before")).where(F.col("before") < most_chars).select("doc_id")
-    return found.join(F.broadcast(within), "doc_id").select("doc_id", "label", "text")
+    out = found.join(F.broadcast(within), "doc_id").select("doc_id", "label", "text")
+    out._plumbline_path = found._plumbline_path  # drop() takes it
+    return out
 
 
 def rows_by_text(docs: DataFrame, judge: Callable[[pa.Array], np.ndarray]) -> DataFrame:

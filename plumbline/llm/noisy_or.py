@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, rows_by_text, training_sample
+from .storage import drop
 
 BUCKETS = 1 << 18
 #: Beginnings of these lengths count besides the word itself.
@@ -139,6 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = 10_000, most_chars: i
 
     sample = training_sample(docs, labels, "toxic", most, most_chars)
     rows = sample.mapInArrow(pick, "doc_id long, label int, features binary, lengths binary").toArrow().sort_by([("doc_id", "ascending"), ("features", "ascending")])
+    drop(sample)
     if not rows.num_rows:
         return NoisyOr(np.zeros(BUCKETS), -20.0)
     features = np.concatenate([np.frombuffer(x.as_py(), dtype="<i4") for x in rows.column("features")])

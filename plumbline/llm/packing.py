@@ -125,5 +125,6 @@ def pack_documents(
 
 
 def piece_digests(pieces: DataFrame) -> DataFrame:
-    """The pieces with the unsigned crc32 of their ids instead of the ids."""
+    """`pieces` of pack_documents() with the unsigned crc32 of their ids instead of the ids; doc_ids, null or repeated,
+    stay as they are, other columns are dropped, and no pieces give no rows."""
     return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .simhash import unite
-from .storage import materialize, partitions
+from .storage import drop, materialize, partitions
 from .vectors import array_type, matrices, runs, sample_matrices, spread, unit, usable
 
 FOUND = "kind int, a long, b long"
@@ -109,7 +109,8 @@ def link_vectors(
     classes: DataFrame, *, least_cosine: float = 0.98, pivots: int = 128, prefix: int = 6, shared: int = 2,
     list_rows: int = 4096, sample_rows: int = 2048,
 ) -> DataFrame:
-    """(kind, a, b) over `classes` (label, embedding, rep, weight): spanning edges between reps, and numbers of links.
+    """(kind, a, b) over `classes` (label, embedding, rep, weight), as a table for drop(): spanning edges between reps, and
+    numbers of links. Each row is a vector of its own, without nulls; no rows give no rows.
 
     The pivots come from at most sample_rows vectors, those with the smallest hashes, such that no two pivots have a
     cosine above 0.7; every vector is indexed. Vectors of a length that the sample lacks share one list of their label.
@@ -180,7 +181,9 @@ def link_vectors(
         if current is not None:
             yield from out(current.close())
 
-    return dealt.mapInArrow(search, FOUND)
+    found = materialize(dealt.mapInArrow(search, FOUND), "vector-links")
+    drop(described)
+    return found
 
 
 def near_duplicate_vectors(vectors: DataFrame, *, least_cosine: float = 0.98, **options: int) -> DataFrame:
@@ -197,8 +200,9 @@ def near_duplicate_vectors(vectors: DataFrame, *, least_cosine: float = 0.98, **
     takes_part = usable("embedding") & F.exists("embedding", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     some = rows.where(takes_part)
     classes = materialize(some.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "vector-classes")
-    found = materialize(link_vectors(classes, least_cosine=least_cosine, **options), "vector-links")
-    parts = connected_components(found.where(F.col("kind") == EDGE).select("a", "b")).select(F.col("node").alias("rep"), "component")
+    found = link_vectors(classes, least_cosine=least_cosine, **options)
+    linked = connected_components(found.where(F.col("kind") == EDGE).select("a", "b"))
+    parts = linked.select(F.col("node").alias("rep"), "component")
     counts = found.where(F.col("kind") == COUNT).groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("linked"))
     known = classes.join(parts, "rep", "left").join(counts, "rep", "left").select(
         "label", "embedding",
@@ -207,4 +211,7 @@ def near_duplicate_vectors(vectors: DataFrame, *, least_cosine: float = 0.98, **
     )
     out = some.join(known, ["label", "embedding"], "left").select("vec_id", "n_links", "component_id")
     rest = rows.where(~takes_part).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    whole = materialize(out.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), "vector-components")
+    for used in (classes, found, linked):
+        drop(used)
+    return whole

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import materialize
+from .storage import drop, materialize
 
 SHINGLE_WORDS, SEED = 3, 42
 
@@ -238,10 +238,12 @@ def near_duplicates(docs: DataFrame, *, radius: int = 2, shard_rows: int = 8192)
     each = materialize(fingerprints(docs), "fingerprints")
     nodes = materialize(each.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-nodes")
     parts = connected_components(link_fingerprints(nodes, radius=radius, shard_rows=shard_rows))
-    # none of these tables is dropped: the result reads them
     labels = nodes.join(parts, nodes.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     named = each.join(labels, "fp", "left")
-    return named.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    out = materialize(named.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")), "simhash-components")
+    for used in (each, nodes, parts):
+        drop(used)
+    return out
 
 
 def keep_representatives(docs: DataFrame, **options: int) -> DataFrame:
@@ -249,9 +251,11 @@ def keep_representatives(docs: DataFrame, **options: int) -> DataFrame:
     the one with the smallest hash of its text stays, then of all its columns' JSON; a row of that doc_id whose text
     belongs to another group doesn't. Rows with a null doc_id stay. The columns are those of `docs`, which may have any
     others besides doc_id and text."""
-    found = near_duplicates(docs, **options).where("doc_id is not null")
+    groups = near_duplicates(docs, **options)
+    found = groups.where("doc_id is not null")
     each = F.count("*").alias("n"), F.max(F.expr("doc_id = component_id")).alias("stands")
     kept = materialize(found.groupBy("doc_id", "fp").agg(*each), "kept")
+    drop(groups)
     ids = kept.groupBy("doc_id").agg(F.sum("n").alias("n"), F.max("stands").alias("stands")).where("stands")
     # all grow with the input, so none is broadcast, whatever its size today
     once, again = (ids.where(x).select("doc_id").hint("merge") for x in ("n = 1", "n > 1"))

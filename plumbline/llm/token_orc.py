@@ -93,7 +93,7 @@ def read_token_orc(spark: SparkSession, path: str, where: Column | None = None)
 
 def token_digests(rows: DataFrame) -> DataFrame:
     """`rows` of read_token_orc() with ids_crc32 instead of the ids: the unsigned crc32 of each list of ids as
-    little-endian unsigned 32-bit integers."""
+    little-endian unsigned 32-bit integers. Null and repeated doc_ids stay as they are; no rows give no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -40,3 +40,21 @@ def test_stages_return_the_columns_of_documents(spark):
     empty = spark.read.parquet(f"{at}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, at).count() == 0
+
+
+def test_stages_with_odd_rows(spark):
+    """Null and repeated doc_ids, null and empty texts, a very long text, and columns with clashing names."""
+    at = "/root/testdata/sf0.001"
+    texts = [r.text for r in spark.read.parquet(f"{at}/documents.parquet").limit(40).collect()]
+    rows = [(i, t, 1.0, "x") for i, t in enumerate(texts)] + [(3, texts[3], 1.0, "x"), (3, texts[4], 2.0, "y"), (None, texts[5], 1.0, "x"), (None, None, 1.0, "z"), (50, None, 1.0, "x"), (51, "", 1.0, "x"), (52, texts[0] * 100, 1.0, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, `fp.rep` string").repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, at)
+        assert left.columns == docs.columns
+        kept = [tuple(r) for r in left.collect()]
+        assert all(r in rows for r in kept) and len(kept) <= len(rows)
+        if name == "near_duplicates":
+            ids = [r[0] for r in kept if r[0] is not None]
+            assert len(ids) == len(set(ids)) and 51 not in ids and sum(r[0] is None for r in kept) == 2
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, at)
+    assert pieces.where("start = 0").count() == len(rows)
