@@ -59,41 +59,51 @@ class TrimPlan:
         return sum(n - self.kept_length(k) for k, n in enumerate(self.lengths))
 
 
-def _refuse(what: str) -> None:
-    raise ValueError(f"refusing bin trim: {what}")
-
-
-def prove_trim(found: list, remove: int) -> TrimPlan:
-    """A plan from the layouts of a file's records (rows of layouts(), the first record's first), or a ValueError that
-    says what can't be proven. Two distinct layouts are enough to refuse, so a caller needs no more than two rows."""
-    if remove <= 0:
-        raise ValueError("--last must be greater than zero")
-    if not found:
-        raise ValueError("input contains no complete, checksum-valid PD0 ensembles")
-    first = found[0]
-    ids = [b.id for b in first.blocks]
-    unknown = [i for i in ids if i not in SUPPORTED]
-    if unknown:
-        _refuse(f"unsupported or unknown data block 0x{unknown[0]}")
-    if any(ids.count(i) != 1 for i in CELL_BLOCKS):
-        _refuse("each standard bin-dependent block must occur exactly once")
-    if ids.count(FIXED_LEADER) != 1 or ids.count(VARIABLE_LEADER) != 1 or ids.count(BOTTOM_TRACK) > 1:
-        _refuse("repeated leader or Bottom Track block creates an unsupported layout")
-    if not (first.beams > 0 and first.cells > 0 and first.cell_cm > 0):
-        _refuse("invalid fixed-leader beam, depth-cell, or cell-size configuration")
-    if remove >= first.cells:
-        raise ValueError(f"--last must be between 1 and {first.cells - 1} for this file")
-    for b in first.blocks:
-        if b.id in CELL_BLOCKS:
-            name, width = CELL_BLOCKS[b.id]
-            if b.length != 2 + first.cells * first.beams * width:
-                _refuse(f"{name} block length {b.length} does not match {first.cells} cells x {first.beams} beams x {width}-byte elements")
-    for other in found[1:]:
-        if other.blocks != first.blocks:
-            _refuse("ensemble data-block ordering, offsets, or lengths vary")
-        _refuse("fixed-leader beam or depth-cell configuration varies")
+def trim_effect(cells: F.Column, beams: F.Column, cell_cm: F.Column, remove: F.Column) -> F.Column:
+    """struct<cells_left, removed_metres, removed_bytes>: what taking `remove` cells off a record does; metres as text."""
+    width = sum(w for _, w in CELL_BLOCKS.values())
+    metres = F.format_string("%.2f", remove * cell_cm / F.lit(100.0))
+    return F.struct((cells - remove).alias("cells_left"), metres.alias("removed_metres"), (remove * beams * width).alias("removed_bytes"))
+
+
+def refusal(remove: F.Column) -> F.Column:
+    """Why the records of a row of layouts() can't lose `remove` cells, or null if they can: the first rule that is
+    broken. A layout must consist of known blocks, each once, whose lengths follow from the fixed leader."""
+    blocks_, ids = F.col("blocks"), F.col("blocks.id")
+    times = lambda ident: F.size(F.filter(ids, lambda i: i == ident))
+    strange = F.filter(ids, lambda i: ~i.isin(SUPPORTED))
+    whole = F.lit(True)
+    for ident in CELL_BLOCKS:
+        whole = whole & (times(ident) == 1)
+
+    def length_fault(ident: str, name: str, width: int) -> F.Column:
+        length = F.filter(blocks_, lambda b: b["id"] == ident)[0]["length"]
+        text = F.format_string(f"{name} has %d bytes, not those of %d cells x %d beams x {width}", length, F.col("cells"), F.col("beams"))
+        return F.when(length != 2 + F.col("cells") * F.col("beams") * width, text)
+
+    return F.coalesce(
+        F.when(remove <= 0, "a trim removes one cell at least"),
+        F.when(F.size(strange) > 0, F.concat(F.lit("block "), F.try_element_at(strange, F.lit(1)), F.lit(" is not one that a trim knows"))),
+        F.when(~whole, "each block of cells must be there once"),
+        F.when((times(FIXED_LEADER) != 1) | (times(VARIABLE_LEADER) != 1) | (times(BOTTOM_TRACK) > 1), "a leader or the bottom track is there twice or missing"),
+        F.when(F.least("beams", "cells", "cell_cm") <= 0, "beams, cells or cell size are zero"),
+        F.when(remove >= F.col("cells"), F.format_string("a trim leaves one cell at least: remove 1 to %d", F.col("cells") - 1)),
+        *[length_fault(ident, *own) for ident, own in CELL_BLOCKS.items()],
+    )
+
+
+def prove_trim(found: DataFrame, remove: int) -> TrimPlan:
+    """A plan from the layouts() of a file's records, or a ValueError that says what can't be proven. Two distinct layouts
+    are enough to refuse, so no more than two rows are fetched."""
+    rows = found.withColumn("refusal", refusal(F.lit(remove))).orderBy("first_start").limit(2).collect()
+    if not rows:
+        raise ValueError("nothing to trim: the file holds no complete record with a valid checksum")
+    first = rows[0]
+    faults = [first.refusal] if first.refusal else ["records differ in their blocks or in their numbers of beams and cells"] if len(rows) > 1 else []
+    if faults:
+        raise ValueError(f"no trim: {faults[0]}")
     fields = zip(*[(b.id, b.offset, b.length) for b in first.blocks], strict=True)
-    return TrimPlan(*map(tuple, fields), first.beams, first.cells, first.cell_cm, remove, sum(r.records for r in found), first.total_bytes)
+    return TrimPlan(*map(tuple, fields), first.beams, first.cells, first.cell_cm, remove, first.records, first.total_bytes)
 
 
 def trimmed(record: bytes, plan: TrimPlan) -> bytes:
@@ -106,8 +116,6 @@ def trimmed(record: bytes, plan: TrimPlan) -> bytes:
     for part in parts:
         starts.append(at)
         at += len(part)
-    if at > 0xFFFF:
-        _refuse("rewritten ensemble byte count exceeds PD0 header capacity")
     body = record[:2] + struct.pack("<H", at) + record[4:6] + struct.pack(f"<{len(starts)}H", *starts) + b"".join(parts)
     return body + struct.pack("<H", checksum(body))
 

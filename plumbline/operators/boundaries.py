@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import counter_transition, in_order, primary_status, to_millis
-from ..vocabulary import SAFE_SPLIT
+from ..vocabulary import NOTES, SAFE_SPLIT
 from .cadence import chosen_interval
 from .files import adjacent
 
@@ -74,26 +74,27 @@ def classify(pairs: DataFrame, overlaps: DataFrame, conflicts: DataFrame, splits
     rows = rows.withColumns({"counter": counter_transition(F.col("prev"), F.col("curr")), "missing": missing})
     joins = F.coalesce((F.abs(F.col("elapsed") - F.col("nominal")) <= TOLERANCE_MS) & F.col("match"), F.lit(False))
     resets = F.col("counter").startswith("counter_reset") | (F.col("counter") == "counter_rollover")
-    # (whether it holds, fact, note), in the order of the notes
+    # (whether it holds, fact, note if it is not the fact's own), in the order of the notes
+    tail_cut, head_cut = F.col("tail_region").startswith("TRUNCATED_ENSEMBLE"), F.col("head_region").startswith("TRUNCATED_ENSEMBLE")
     findings = [
-        (F.col("prev").isNull() | F.col("curr").isNull(), "UNRECOVERABLE_FRAGMENT", F.lit("one side has no valid complete ensembles")),
-        ((F.col("duplicates") > 0) & (F.col("duplicates") == F.col("smaller")), "EXACT_OVERLAP", F.lit("all ensembles in the smaller side duplicate by full-record SHA256")),
-        ((F.col("duplicates") > 0) & (F.col("duplicates") != F.col("smaller")), "PARTIAL_OVERLAP", F.format_string("%d exact duplicate complete ensembles overlap", "duplicates")),
-        (F.col("conflicts") > 0, "CONFLICT", F.format_string("%d RTC-identical but hash-different valid records overlap", "conflicts")),
-        (~F.col("match"), "CONFIGURATION_CHANGE", F.lit("fixed leader fingerprint changed across the boundary")),
-        (joins, "CLEAN_CONTIGUOUS", F.lit("timestamps join at the observed nominal cadence")),
-        (~joins & (F.col("elapsed") > F.col("nominal")), "GAP", F.lit("elapsed time exceeds the observed nominal cadence")),
-        (resets, "CLEAN_WITH_COUNTER_RESET", F.concat(F.lit("counter transition classified as "), F.col("counter"))),
-        (F.col("tail_region").startswith("TRUNCATED_ENSEMBLE"), "TRUNCATED_PREVIOUS_FILE", F.lit("previous file ends with a truncated candidate")),
-        (F.col("head_region").startswith("TRUNCATED_ENSEMBLE"), "TRUNCATED_NEXT_FILE", F.lit("next file begins with a truncated candidate")),
-        (F.col("safe"), "SAFE_SPLIT_RECONSTRUCTION", F.lit("cross-file split reconstruction validated with the original stored checksum")),
-        (~F.col("safe") & ((F.col("tail") > 0) | (F.col("head") > 0)), "UNRECOVERABLE_FRAGMENT", F.lit("boundary damage remains after conservative split testing")),
-    ]
-    found = F.array_compact(F.array(*[F.when(holds, F.struct(F.lit(fact).alias("fact"), note.alias("note"))) for holds, fact, note in findings]))
+        (F.col("prev").isNull() | F.col("curr").isNull(), "UNRECOVERABLE_FRAGMENT", F.lit(NOTES["ONE_SIDE"])),
+        ((F.col("duplicates") > 0) & (F.col("duplicates") == F.col("smaller")), "EXACT_OVERLAP", None),
+        ((F.col("duplicates") > 0) & (F.col("duplicates") != F.col("smaller")), "PARTIAL_OVERLAP", F.format_string(NOTES["PARTIAL_OVERLAP"], "duplicates")),
+        (F.col("conflicts") > 0, "CONFLICT", F.format_string(NOTES["CONFLICT"], "conflicts")),
+        (~F.col("match"), "CONFIGURATION_CHANGE", None),
+        (joins, "CLEAN_CONTIGUOUS", None),
+        (~joins & (F.col("elapsed") > F.col("nominal")), "GAP", None),
+        (resets, "CLEAN_WITH_COUNTER_RESET", F.concat(F.lit(NOTES["CLEAN_WITH_COUNTER_RESET"]), F.col("counter"))),
+        (tail_cut, "TRUNCATED_PREVIOUS_FILE", None),
+        (head_cut, "TRUNCATED_NEXT_FILE", None),
+        (F.col("safe"), "SAFE_SPLIT_RECONSTRUCTION", None),
+        (~F.col("safe") & ((F.col("tail") > 0) | (F.col("head") > 0)), "UNRECOVERABLE_FRAGMENT", None),
+    ]
+    found = F.array_compact(F.array(*[F.when(holds, F.struct(F.lit(fact).alias("fact"), (F.lit(NOTES[fact]) if note is None else note).alias("note"))) for holds, fact, note in findings]))
     rows = rows.withColumn("found", found)
     none = F.size("found") == 0
     facts = F.when(none, F.array(F.lit("AMBIGUOUS"))).otherwise(in_order(F.col("found.fact")))
-    notes = F.when(none, F.array(F.lit("boundary does not fit a stronger structural classification"))).otherwise(F.col("found.note"))
+    notes = F.when(none, F.array(F.lit(NOTES["AMBIGUOUS"]))).otherwise(F.col("found.note"))
     return rows.select(
         "boundary", a["file_name"].alias("previous_file"), b["file_name"].alias("next_file"),
         primary_status(facts).alias("primary_status"), facts.alias("facts"),

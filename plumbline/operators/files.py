@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..vocabulary import BAD_CHECKSUM, FRAGMENT, NON_PD0, OUTPUT_DIRECTORIES, OUTPUT_NAME, TRUNCATED, VALID
+from ..vocabulary import BAD_CHECKSUM, FRAGMENT, NO_INPUT, NON_PD0, ONE_GROUP, OUTPUT_DIRECTORIES, OUTPUT_NAME, SEVERAL_GROUPS, TRUNCATED, VALID
 from .cadence import median_steps
 
 EDGE_FIELDS = ["number", "number_lsb", "number_msb", "rtc", "rtc_text", "config", "digest", "start"]
@@ -68,11 +68,17 @@ def edge_fragments(regions: DataFrame) -> DataFrame:
 
 
 def merge_regions(regions: DataFrame) -> DataFrame:
-    """Adjacent damaged regions of one kind and reason as one: islands of regions that begin where the last one ended."""
-    same = Window.partitionBy("file", "classification", "reason").orderBy("start", "end")
-    starts = (F.col("start") != F.coalesce(F.lag("end").over(same), F.lit(-1))) | (F.col("classification") == VALID)
-    marked = regions.withColumn("island", F.sum(starts.cast("int")).over(same))
-    return marked.groupBy("file", "classification", "reason", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    """Damaged regions of one file that follow each other without a byte between, alike in kind, reason, candidacy and
+    declared length, as one: islands in the order of bytes. Any other region between two of them keeps them apart."""
+    alike = ["classification", "reason", "is_candidate", "declared"]
+    order = Window.partitionBy("file").orderBy("start", "end", "classification", "reason", "is_candidate")
+    before = F.lag(F.struct("end", *alike)).over(order)
+    goes_on = (before["end"] == F.col("start")) & (F.col("classification") != VALID)
+    for name in alike:
+        goes_on = goes_on & before[name].eqNullSafe(F.col(name))
+    marked = regions.withColumn("island", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
+    marked = marked.withColumn("island", F.sum("island").over(order))
+    return marked.groupBy("file", "island", *alike).agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
 def chronological(files: DataFrame) -> DataFrame:
@@ -105,3 +111,24 @@ def candidate_groups(paths: DataFrame, basis: str) -> DataFrame:
     parent = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     groups = paths.select("path", parent.alias("parent")).distinct().groupBy("parent").agg(F.sort_array(F.collect_set("path")).alias("files"))
     return groups.select(F.row_number().over(Window.orderBy("parent")).alias("group_id"), "files", F.lit(basis).alias("basis"))
+
+
+def group_status(groups: DataFrame) -> DataFrame:
+    """(status), one row: whether there is one group, none, or more than one to choose from."""
+    n = F.count("*")
+    return groups.agg(F.when(n == 0, NO_INPUT).when(n > 1, SEVERAL_GROUPS).otherwise(ONE_GROUP).alias("status"))
+
+
+def input_mode(path: F.Column, is_folder: F.Column) -> F.Column:
+    """How an input is taken: a folder is searched, a .000 file is one by name, anything else is ignored."""
+    return F.when(is_folder, "folder").when(F.lower(path).endswith(".000"), "file").otherwise("ignored")
+
+
+def discovered(paths: DataFrame, folders: list[str], recursive: bool, output_dir: str | None = None) -> DataFrame:
+    """Of `paths` (path), once each, the .000 files that lie in the folders, or at any depth below them, and are no
+    outputs."""
+    parent = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    inside = F.lit(False)
+    for folder in folders:
+        inside = inside | (parent == folder) | (F.lit(recursive) & F.col("path").startswith(folder.rstrip("/") + "/"))
+    return paths.where(inside & F.col("path").endswith(".000") & ~excluded_path(F.col("path"), output_dir)).select("path").distinct()

@@ -1,7 +1,8 @@
 """Windows over one global order without one task for all rows.
 
-The order is cut into buckets at quantiles of a numeric key. Each bucket has its own window; what crosses a boundary is
-one row for each bucket, which is joined back by broadcast.
+Rows are dealt by ranges of the whole order, so that equal leading keys, null ones too, can lie in several parts, and are
+written once with the number of their part. Each part has its own window; what crosses a boundary is one row for each
+part, which is joined back by broadcast. Pass narrow rows: what is written is all their columns.
 """
 
 from __future__ import annotations
@@ -9,27 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import keep
 
-def _buckets(df: DataFrame, key: Column, buckets: int | None) -> DataFrame:
-    """`df` with __bucket: equal keys in one bucket, buckets in the order of the key, nulls in the last."""
-    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = df.agg(F.percentile_approx(key, F.array(*[F.lit(i / n) for i in range(1, n)]), 100 * n)).first()[0] if n > 1 else None
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]) if cuts else F.array().cast("array<bigint>")
-    return df.withColumn("__bucket", F.when(key.isNull(), F.lit(n + 1)).otherwise(F.size(F.filter(bounds, lambda c: c < key))))
-
-
-def global_lag(df: DataFrame, key: Column, order: list[Column], value: Column, name: str, buckets: int | None = None) -> DataFrame:
-    """`df` with `value` of the row before in the order, as column `name`. `key` is the order's leading column as a
-    number; `order` is complete, ascending with nulls last."""
-    rows = _buckets(df.withColumn("__value", value), key, buckets)
-    own = Window.partitionBy("__bucket").orderBy(*[c.asc_nulls_last() for c in order])
-    rows = rows.withColumn("__in", F.lag(F.struct("__value")).over(own))
-    # one row for each bucket: the last of the nearest bucket before
-    last = rows.groupBy("__bucket").agg(F.max_by("__value", F.struct(*_sortable(order))).alias("__end"))
-    ends = last.select("__bucket", F.lag(F.struct("__end")).over(Window.orderBy("__bucket")).alias("__before"))
-    joined = rows.join(F.broadcast(ends), "__bucket")
-    taken = F.when(F.col("__in").isNotNull(), F.col("__in")["__value"]).otherwise(F.col("__before")["__end"])
-    return joined.withColumn(name, taken).drop("__bucket", "__value", "__in", "__before")
+
+def _parts(df: DataFrame, order: list[Column], parts: int | None) -> DataFrame:
+    """`df` as a table with __part, numbered in the order; `order` ascends with nulls last."""
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keep(df.repartitionByRange(n, *[c.asc_nulls_last() for c in order]).withColumn("__part", F.spark_partition_id()), "ordered")
 
 
 def _sortable(order: list[Column]) -> list[Column]:
@@ -37,12 +24,23 @@ def _sortable(order: list[Column]) -> list[Column]:
     return [part for c in order for part in (c.isNull(), c)]
 
 
-def global_running_total(df: DataFrame, key: Column, order: list[Column], value: Column, name: str, buckets: int | None = None) -> DataFrame:
+def global_lag(df: DataFrame, order: list[Column], value: Column, name: str, parts: int | None = None) -> DataFrame:
+    """`df` with `value` of the row before in the order, as column `name`. `order` is complete, ascending with nulls last."""
+    rows = _parts(df.withColumn("__value", value), order, parts)
+    own = Window.partitionBy("__part").orderBy(*[c.asc_nulls_last() for c in order])
+    # one row for each part: the last of the nearest part before
+    last = rows.groupBy("__part").agg(F.max_by("__value", F.struct(*_sortable(order))).alias("__end"))
+    ends = last.select("__part", F.lag(F.struct("__end")).over(Window.orderBy("__part")).alias("__before"))
+    joined = rows.withColumn("__in", F.lag(F.struct("__value")).over(own)).join(F.broadcast(ends), "__part")
+    taken = F.when(F.col("__in").isNotNull(), F.col("__in")["__value"]).otherwise(F.col("__before")["__end"])
+    return joined.withColumn(name, taken).drop("__part", "__value", "__in", "__before")
+
+
+def global_running_total(df: DataFrame, order: list[Column], value: Column, name: str, parts: int | None = None) -> DataFrame:
     """`df` with the sum of `value` over all rows before, as column `name`; 0 for the first."""
-    rows = _buckets(df.withColumn("__value", value), key, buckets)
-    own = Window.partitionBy("__bucket").orderBy(*[c.asc_nulls_last() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__in", F.coalesce(F.sum("__value").over(own), F.lit(0)))
-    sums = rows.groupBy("__bucket").agg(F.sum("__value").alias("__sum"))
-    before = F.coalesce(F.sum("__sum").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    joined = rows.join(F.broadcast(sums.select("__bucket", before.alias("__base"))), "__bucket")
-    return joined.withColumn(name, (F.col("__base") + F.col("__in")).cast("long")).drop("__bucket", "__value", "__in", "__base")
+    rows = _parts(df.withColumn("__value", value), order, parts)
+    own = Window.partitionBy("__part").orderBy(*[c.asc_nulls_last() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("__part").agg(F.sum("__value").alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = rows.withColumn("__in", F.coalesce(F.sum("__value").over(own), F.lit(0))).join(F.broadcast(sums.select("__part", before.alias("__base"))), "__part")
+    return joined.withColumn(name, (F.col("__base") + F.col("__in")).cast("long")).drop("__part", "__value", "__in", "__base")

@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import to_millis
-from ..vocabulary import FAIL, PASS, PASS_WITH_FRAGMENTS, PASS_WITH_GAPS, REVIEW
+from ..vocabulary import FAIL, NATIVE_CONFLICT, PASS, PASS_WITH_FRAGMENTS, PASS_WITH_GAPS, REBUILT_CONFLICT, REVIEW
 from .ordered import global_lag, global_running_total
 
 
-
 def order_columns() -> list[Column]:
     """The order of recovered records: by clock, records without one last."""
     return [F.col("rtc"), F.col("file_name"), F.col("file"), F.col("start")]
@@ -36,19 +35,17 @@ def conflicts(kept: DataFrame) -> DataFrame:
 
 def conflict_message() -> Column:
     again = F.coalesce(F.col("reconstructed"), F.lit(False))
-    native = F.format_string("conflicting valid overlap at RTC %s: %s offset %d differs from earlier accepted record(s)", "rtc_text", "file_name", "start")
-    rebuilt = F.format_string(
-        "conflicting reconstructed overlap at RTC %s: %s offset %d + %s prefix differs from earlier accepted record(s)", "rtc_text", "file_name", "start", "continuation_file"
-    )
-    return F.when(again, rebuilt).otherwise(native)
+    native = F.format_string(NATIVE_CONFLICT, "rtc_text", "file_name", "start")
+    return F.when(again, F.format_string(REBUILT_CONFLICT, "rtc_text", "file_name", "start", "continuation_file")).otherwise(native)
 
 
-def gaps(kept: DataFrame, nominal: Column, buckets: int | None = None) -> DataFrame:
+def gaps(kept: DataFrame, nominal: Column, parts: int | None = None) -> DataFrame:
     """Adjacent records of the recovered order that are further apart than the nominal interval, without tolerance;
     pairs without two clocks don't count."""
     ms = to_millis("rtc")
     before = F.struct("rtc_text", "number", "file_name", "file", ms.alias("ms"))
-    rows = global_lag(kept, ms, order_columns(), before, "before", buckets)
+    narrow = kept.select("rtc", "rtc_text", "number", "file_name", "file", "start")
+    rows = global_lag(narrow, order_columns(), before, "before", parts)
     rows = rows.withColumns({"nominal": nominal, "elapsed_ms": ms - F.col("before.ms")}).where("elapsed_ms > nominal")
     missing = F.col("elapsed_ms") - F.col("nominal")
     return rows.select(
@@ -70,9 +67,9 @@ def gap_seconds(found: DataFrame) -> DataFrame:
     )
 
 
-def provenance(kept: DataFrame, buckets: int | None = None) -> DataFrame:
+def provenance(kept: DataFrame, parts: int | None = None) -> DataFrame:
     """Where each kept record lies in the output: output_byte_offset is the length of all before it."""
-    return global_running_total(kept, to_millis("rtc"), order_columns(), F.col("total_bytes"), "output_byte_offset", buckets)
+    return global_running_total(kept, order_columns(), F.col("total_bytes"), "output_byte_offset", parts)
 
 
 def verify_provenance(mapped: DataFrame, output: DataFrame) -> DataFrame:
@@ -110,6 +107,18 @@ def removed_by(first: int | None = None, last: int | None = None, between: tuple
     return at.between(*between)
 
 
+def slice_bounds(how: Column, spec: Column, total: Column) -> Column:
+    """struct<lowest, highest>: the places, from 1, that a slice removes, or null if it asks for what isn't there. how:
+    first, last or range; spec: a number, or A:B with both ends included."""
+    number = lambda text: F.when(text.rlike(r"^\s*[+-]?[0-9]{1,18}\s*$"), F.trim(text).cast("long"))
+    cut = F.split(spec, ":", 2)
+    a, b = number(cut[0]), number(F.try_element_at(cut, F.lit(2)))
+    n = F.when(F.size(cut) == 1, a)
+    low = F.when(how == "first", F.lit(1)).when(how == "last", total - n + 1).otherwise(a)
+    high = F.when(how == "first", n).when(how == "last", total).otherwise(b)
+    return F.when((low >= 1) & (low <= high) & (high <= total), F.struct(low.cast("long").alias("lowest"), high.cast("long").alias("highest")))
+
+
 def index_ranges(indexes: DataFrame) -> DataFrame:
     """(file, ranges) of `indexes` (file, physical_index): runs as "1-3, 5"."""
     own = Window.partitionBy("file").orderBy("physical_index")

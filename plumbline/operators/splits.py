@@ -8,14 +8,9 @@ from pyspark.sql import functions as F
 from ..sources.pd0 import records as parsed_records
 from ..sources.pd0 import regions as parsed_regions
 from ..sources.pd0 import scan_contents
-from ..vocabulary import REJECTED_SPLIT, SAFE_SPLIT, TRUNCATED
+from ..vocabulary import REJECTED_SPLIT, SAFE_SPLIT, SPLIT_LATE, SPLIT_OTHER_LEADER, SPLIT_OUTSIDE, SPLIT_SAFE, TRUNCATED
 from .boundaries import last_complete_before
 
-OUTSIDE = "required continuation bytes are not confined to the next file's leading fragment region"
-LATE = "candidate RTC is not plausible relative to neighboring complete ensembles"
-OTHER_LEADER = "candidate fixed leader does not match neighboring complete ensembles"
-SAFE = "declared length, offsets, IDs, chronology, and original stored checksum all validate"
-
 
 def split_candidates(records: DataFrame, regions: DataFrame, contents: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row for each truncated record that reaches the end of an earlier file, where the next file begins with bytes
@@ -49,8 +44,8 @@ def split_candidates(records: DataFrame, regions: DataFrame, contents: DataFrame
     made, preceding, following = F.col("made"), F.col("preceding"), F.col("following")
     in_time = F.coalesce(made["rtc"] >= preceding["rtc"], F.lit(True)) & F.coalesce(made["rtc"] <= following["rtc"], F.lit(True))
     same = F.coalesce(made["config"] == preceding["config"], F.lit(True)) & F.coalesce(made["config"] == following["config"], F.lit(True))
-    doubts = F.concat_ws("; ", F.when(~in_time, LATE), F.when(~same, OTHER_LEADER))
-    reason = F.when(~F.col("inside"), OUTSIDE).when(made.isNull(), F.col("fault")).when(~(in_time & same), doubts).otherwise(SAFE)
+    doubts = F.concat_ws("; ", F.when(~in_time, SPLIT_LATE), F.when(~same, SPLIT_OTHER_LEADER))
+    reason = F.when(~F.col("inside"), SPLIT_OUTSIDE).when(made.isNull(), F.col("fault")).when(~(in_time & same), doubts).otherwise(SPLIT_SAFE)
     safe = F.col("inside") & made.isNotNull() & in_time & same
     return rows.select(
         "boundary", "file", "previous_file", "next_file", "next_path", F.col("cut_at").alias("previous_offset"), F.col("available").alias("previous_available_bytes"),

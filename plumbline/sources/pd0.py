@@ -7,6 +7,7 @@ All that can be told from a record's own bytes afterwards is left to native expr
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +24,7 @@ from ..vocabulary import BAD_CHECKSUM, FRAGMENT, NON_PD0, SYNC, TRUNCATED, VALID
 SCAN_SCHEMA = (
     "path string, size long, kind string, start long, end long, classification string, reason string, is_candidate boolean, "
     "declared long, side string, byte_count int, offsets array<int>, ids array<string>, number_lsb int, number_msb int, "
-    "clock binary, fixed_leader binary, stored_checksum int, calculated_checksum int, checksum_present boolean, payload binary"
+    "clock binary, fixed_leader binary, stored_checksum int, calculated_checksum int, checksum_present boolean, digest string, payload binary"
 )
 
 
@@ -199,7 +200,7 @@ def scan_rows(data: bytes, mode: str = "resync", payloads: bool = True) -> Itera
             "ids": [data[begin + o : begin + o + 2].hex() for o in offsets],
             "fixed_leader": data[begin + offsets[0] : begin + offsets[1]],
             "stored_checksum": found.stored, "calculated_checksum": found.stored if mode != "framing" else checksum(data[begin : begin + last]),
-            "payload": data[begin:end] if payloads else None,
+            "digest": hashlib.sha256(data[begin:end]).hexdigest(), "payload": data[begin:end] if payloads else None,
         }
         yield row | _leader(data, begin + offsets[1])
     for side, region in edges(len(data), damaged) if mode == "resync" else ():
@@ -224,7 +225,7 @@ def scan_contents(files: DataFrame, mode: str = "resync", payloads: bool = True)
                 fixed, held, size = {"path": path.as_py(), "size": len(data)}, [], 0
                 for row in scan_rows(data, mode, payloads):
                     held.append(fixed | row)
-                    size += 200 + 2 * (row["end"] - row["start"])
+                    size += 300 + (2 * (row["end"] - row["start"]) if payloads else 0)
                     if size > 8_000_000:
                         yield pa.RecordBatch.from_pylist(held, schema=schema)
                         held, size = [], 0
@@ -257,7 +258,7 @@ def records(scanned: DataFrame) -> DataFrame:
         counter24(F.col("number_lsb"), F.col("number_msb")).alias("number"),
         "rtc", F.col("rtc").isNotNull().alias("rtc_valid"), rtc_text(F.col("clock"), F.col("rtc")).alias("rtc_text"),
         F.sha2("fixed_leader", 256).alias("config"), lower_hex("fixed_leader").alias("fixed_leader_hex"), "fixed_leader",
-        F.sha2("payload", 256).alias("digest"), "stored_checksum", "calculated_checksum", "payload",
+        "digest", "stored_checksum", "calculated_checksum", "payload",
     )
 
 

@@ -100,19 +100,33 @@ def write_bytes(rows: DataFrame, path: str) -> None:
     Path(path).touch()  # no rows, no tasks: an empty file
 
 
+def write_files(contents: DataFrame, folder: str) -> None:
+    """Write `contents` (path: a file's name, content) as files of `folder`, one that all machines share. Each executor
+    writes its own; a file appears under its name when it is whole, so that a task may run again."""
+    Path(folder).mkdir(parents=True, exist_ok=True)
+
+    def put(rows: Iterator) -> None:
+        for row in rows:
+            draft = Path(folder) / f"{row.path}.{TaskContext.get().taskAttemptId()}"
+            draft.write_bytes(row.content or b"")
+            draft.replace(Path(folder) / row.path)
+
+    contents.select("path", "content").foreachPartition(put)
+
+
 def publish(rows: DataFrame, path: Path, suffix: str, check: Callable[[str], list[str]]) -> None:
     """Write to another name beside `path`, check it, then rename; nothing stays if anything fails."""
     if path.exists():
-        raise ValueError(f"refusing to overwrite existing output file: {path}")
+        raise ValueError(f"there is a file at {path}; it is left as it is")
     path.parent.mkdir(parents=True, exist_ok=True)
     draft = path.with_name(f"{path.name}.{suffix}")  # Spark does not list names that begin with a dot
     if draft.exists():
-        raise ValueError(f"refusing to replace temporary file: {draft}")
+        raise ValueError(f"an earlier draft lies at {draft}; remove it first")
     try:
         write_bytes(rows, str(draft))
         issues = check(str(draft))
         if issues:
-            raise ValueError("output validation failed: " + "; ".join(issues))
+            raise ValueError("the output is not as it should be: " + "; ".join(issues))
         draft.replace(path)
     finally:
         draft.unlink(missing_ok=True)
