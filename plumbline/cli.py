@@ -8,12 +8,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
+from . import __version__
 from .plans import actions, reports
 from .plans.dataset import find_groups, only_group
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="plumbline", description="Inspect, recover and cut PD0 record files on Spark.")
+    top.add_argument("--version", action="version", version=f"plumbline {__version__}")
     verbs = top.add_subparsers(dest="verb", required=True)
     for name, text in (("inspect", "report on files and folders"), ("recover", "write trustworthy records as one file")):
         verb = verbs.add_parser(name, help=text)
@@ -40,7 +42,7 @@ def _cut(args: argparse.Namespace, spark: SparkSession) -> int:
     trims = args.verb == "slice-bins"
     try:
         plan = actions.plan_bin_trim(spark, args.input, args.last) if trims else actions.plan_slice(spark, args.input, args.first, args.last, args.range_spec)
-        sys.stdout.write(plan.text())
+        sys.stdout.writelines(f"{line}\n" for line in plan.lines()) if not trims else sys.stdout.write(plan.text())
         if args.dry_run:
             sys.stdout.write("DRY RUN: no output file written.\n")
             return 0

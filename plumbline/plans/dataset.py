@@ -25,19 +25,20 @@ class Group:
 def find_groups(spark: SparkSession, inputs: list[str], recursive: bool = False, output_dir: str | None = None) -> list[Group]:
     """Inputs as groups of files: the .000 files given by name are one, the files of each folder found another. Other
     inputs are ignored. Names of outputs are skipped in folders, not among given files."""
-    named = sorted({Path(i).resolve() for i in inputs if Path(i).is_file() and Path(i).suffix.lower() == ".000"}, key=lambda p: (p.name, str(p)))
-    groups = [Group(1, [str(p) for p in named], "explicit_files")] if named else []
-    folders = [str(Path(i).resolve()) for i in inputs if Path(i).is_dir()]
+    given = [(str(Path(i).resolve()), Path(i).is_dir()) for i in inputs if Path(i).exists()]
+    if not given:
+        return []
+    taken = spark.createDataFrame(given, "path string, is_folder boolean").withColumn("mode", files.input_mode(F.col("path"), F.col("is_folder"))).distinct().collect()
+    named = sorted((r.path for r in taken if r.mode == "file"), key=lambda p: (Path(p).name, p))
+    folders = sorted(r.path for r in taken if r.mode == "folder")
+    groups = [Group(1, named, "explicit_files")] if named else []
     if not folders:
         return groups
-    basis = "directory_recursive_parent" if recursive else "directory_non_recursive"
     reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.000").option("recursiveFileLookup", str(recursive).lower())
-    found = reader.load(folders).select(F.regexp_replace("path", "^file:/*", "/").alias("path")).distinct()
-    if not recursive:
-        found = found.where(F.regexp_extract("path", "^(.*)/[^/]*$", 1).isin(folders))
-    found = found.where(~files.excluded_path(F.col("path"), str(Path(output_dir).resolve()) if output_dir else None))
-    for row in files.candidate_groups(found, basis).orderBy("group_id").collect():
-        groups.append(Group(len(groups) + 1, list(row.files), basis))
+    listed = reader.load(folders).select(F.regexp_replace("path", "^file:/*", "/").alias("path"))
+    found = files.discovered(listed, folders, recursive, str(Path(output_dir).resolve()) if output_dir else None)
+    for row in files.candidate_groups(found, "directory_recursive_parent" if recursive else "directory_non_recursive").orderBy("group_id").collect():
+        groups.append(Group(len(groups) + 1, list(row.files), row.basis))
     return groups
 
 
@@ -70,11 +71,17 @@ class Dataset:
 
     @cached_property
     def scanned(self) -> DataFrame:
-        return self._keep(pd0.scan_contents(self.contents, self.mode))
+        """What the scan tells, without the records' bytes."""
+        return self._keep(pd0.scan_contents(self.contents, self.mode, payloads=False))
+
+    @cached_property
+    def with_bytes(self) -> DataFrame:
+        """Records with their payload, from a scan of its own that is not kept: only outputs need it."""
+        return pd0.records(pd0.scan_contents(self.contents, self.mode))
 
     @cached_property
     def records(self) -> DataFrame:
-        return pd0.records(self.scanned)
+        return pd0.records(self.scanned).drop("payload")
 
     @cached_property
     def regions(self) -> DataFrame:
@@ -123,7 +130,7 @@ class Dataset:
     def payloads(self) -> DataFrame:
         """(file, start, payload) of native records and safe splits; joined to the accepted ones only to be written."""
         rebuilt = self.splits.where("bytes_data IS NOT NULL").select("file", F.col("previous_offset").alias("start"), F.col("bytes_data").alias("payload"))
-        return self.records.select("file", "start", "payload").unionByName(rebuilt)
+        return self.with_bytes.select("file", "start", "payload").unionByName(rebuilt)
 
     def verdict(self, issues: int = 0) -> str:
         some = lambda df: bool(df.limit(1).count())
@@ -139,29 +146,35 @@ class Dataset:
 
 @dataclass
 class Validation:
+    """What an output is found to hold; duplicates (digest) and gaps are tables, lazily computed until close()."""
+
     records: int
     issues: list[str]
-    duplicates: list[str]
     nominal_ms: int | None
-    gaps: list
+    data: Dataset
+
+    @cached_property
+    def duplicates(self) -> DataFrame:
+        return recovery.duplicate_digests(self.data.records).select("digest")
+
+    @cached_property
+    def gaps(self) -> DataFrame:
+        return recovery.gaps(self.data.records, F.lit(self.nominal_ms).cast("long"))
+
+    def close(self) -> None:
+        self.data.close()
 
 
 def validate_file(spark: SparkSession, path: str, allow_duplicates: bool = False) -> Validation:
     """Parse an output from byte 0; the first fault, repeated records and gaps in the order of its bytes."""
     own = Dataset(spark, [path], "strict")
-    try:
-        n, nominal = own.records.count(), own.nominal_ms
-        size = own.scanned.where("kind = 'file'").first()
-        issues = []
-        bad = own.regions.where(F.col("classification") != VALID).first()
-        if bad is not None:
-            issues.append(f"validation stopped at byte {bad.start}: {bad.classification}: {bad.reason}")
-            issues.append(f"validation did not consume file to EOF: stopped at {bad.start}, file size {size.size}")
-        again = [r.digest for r in recovery.duplicate_digests(own.records).collect()]
-        if again and not allow_duplicates:
-            issues.append(f"duplicate full-record hashes present: {len(again)}")
-        order = own.records.withColumn("rtc_order", F.col("rtc"))
-        found = recovery.gaps(order, F.lit(nominal).cast("long")).collect() if nominal else []
-        return Validation(n, issues, again, nominal, found)
-    finally:
-        own.close()
+    out = Validation(own.records.count(), [], own.nominal_ms, own)
+    size = own.scanned.where("kind = 'file'").first()
+    bad = own.regions.where(F.col("classification") != VALID).first()
+    if bad is not None:
+        out.issues.append(f"parsing stopped at byte {bad.start}: {bad.classification}: {bad.reason}")
+        out.issues.append(f"the last {size.size - bad.start} of {size.size} bytes were not parsed")
+    again = out.duplicates.count()
+    if again and not allow_duplicates:
+        out.issues.append(f"{again} records are there more than once")
+    return out

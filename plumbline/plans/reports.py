@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import csv
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator, Mapping
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import recovery
@@ -30,11 +30,12 @@ MAP = [
 ]
 
 
-def inventory(data: Dataset) -> DataFrame:
+def inventory(files: DataFrame, fragments: DataFrame) -> DataFrame:
+    """Rows of the source inventory: `files` in the order of time with all facts, and the damaged records at their edges."""
     text = F.format_string("%s:%d:%d:%s", "side", "byte_offset", "available", "classification")
-    edges = data.fragments.groupBy("file").agg(F.array_join(F.sort_array(F.collect_list(text)), " | ").alias("fragments"))
+    edges = fragments.groupBy("file").agg(F.array_join(F.sort_array(F.collect_list(text)), " | ").alias("fragments"))
     n = lambda c: F.coalesce(c, F.lit(0))
-    rows = data.files.join(edges, "file", "left").orderBy("place")
+    rows = files.join(edges, "file", "left").orderBy("place")
     return rows.select(
         F.col("file_name").alias("file"), n("size").alias("size_bytes"), n("valid").alias("valid_ensembles"), F.col("first.number").alias("first_valid_ensemble_number"),
         F.col("last.number").alias("last_valid_ensemble_number"), F.col("first.rtc_text").alias("first_valid_rtc"), F.col("last.rtc_text").alias("last_valid_rtc"),
@@ -44,12 +45,12 @@ def inventory(data: Dataset) -> DataFrame:
     )
 
 
-def boundary_rows(data: Dataset) -> DataFrame:
-    return data.boundaries.orderBy("boundary").select(*[F.array_join(c, {"facts": ";", "notes": " | "}[c]).alias(c) if c in ("facts", "notes") else c for c in BOUNDARY])
+def boundary_rows(boundaries: DataFrame) -> DataFrame:
+    return boundaries.orderBy("boundary").select(*[F.array_join(c, {"facts": ";", "notes": " | "}[c]).alias(c) if c in ("facts", "notes") else c for c in BOUNDARY])
 
 
-def ensemble_map(data: Dataset) -> DataFrame:
-    rows = recovery.provenance(data.accepted).orderBy("output_byte_offset")
+def ensemble_map(accepted: DataFrame) -> DataFrame:
+    rows = recovery.provenance(accepted).orderBy("output_byte_offset")
     return rows.select(
         "output_byte_offset", F.col("file_name").alias("source_file"), F.col("start").alias("source_offset"), "source_length", "continuation_file",
         F.when(F.col("reconstructed"), 0).alias("continuation_offset"), "continuation_length", "reconstructed", F.col("digest").alias("ensemble_sha256"),
@@ -65,61 +66,101 @@ def write_csv(rows: DataFrame, path: Path) -> None:
         out.writerows(rows.toLocalIterator())
 
 
-def _plain(rows: Iterable) -> list[dict]:
-    return [{k: v for k, v in r.asDict(recursive=True).items() if not isinstance(v, (bytes, bytearray))} for r in rows]
+def as_json(rows: DataFrame) -> Column:
+    """All columns of a row as one JSON object, nulls included."""
+    return F.to_json(F.struct(*[F.col(c) for c in rows.columns]), {"ignoreNullFields": "false"})
 
 
-def _with_seconds(rows: list[dict]) -> list[dict]:
+def with_seconds(gaps: DataFrame) -> DataFrame:
+    """Gaps with their times in seconds, too."""
     names = {"elapsed_ms": "elapsed_seconds", "expected_interval_ms": "expected_interval_seconds", "missing_acquisition_ms": "missing_acquisition_seconds"}
-    return [r | {to: r[c] / 1000 for c, to in names.items()} for r in rows]
+    return gaps.withColumns({to: F.col(c) / F.lit(1000.0) for c, to in names.items()})
 
 
+# Fields of a split candidate in the manifest; its other keys are those of write_manifest().
 SPLIT = [
     "previous_file", "next_file", "previous_offset", "previous_available_bytes", "next_consumed_bytes", "declared_total_bytes", "candidate_ensemble_number", "candidate_rtc",
     "status", "reason", "stored_checksum_validates", "fixed_leader_sha256", "ensemble_sha256",
 ]
 
 
-def manifest(data: Dataset, verdict: str, removed: int, conflicts: list[str], validation: Validation | None, output: Path | None) -> dict:
-    found = data.files.orderBy("place").select("file", "file_name", "size", "valid", "first", "last", "configs").collect()
-    edges = _plain(data.fragments.orderBy("file", "side").collect())
-    boundaries = _plain(data.boundaries.orderBy("boundary").drop("boundary").collect())
+def source_files(data: Dataset) -> DataFrame:
+    """What the manifest holds of each file, in the order of time."""
+    edges = data.fragments.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("side", *[c for c in data.fragments.columns if c != "side"]))).alias("fragments"))
+    first, last = F.col("first"), F.col("last")
+    return data.files.join(edges, "file", "left").orderBy("place").select(
+        F.col("file_name").alias("file"), F.coalesce("size", F.lit(0)).alias("size_bytes"), F.coalesce("valid", F.lit(0)).alias("valid_ensembles"),
+        first["rtc_text"].alias("first_rtc"), last["rtc_text"].alias("last_rtc"), first["number"].alias("first_ensemble_number"), last["number"].alias("last_ensemble_number"),
+        F.coalesce("configs", F.create_map().cast("map<string, bigint>")).alias("fixed_leader_fingerprints"), F.coalesce("fragments", F.array()).alias("fragments"),
+    )
+
+
+def _rows(rows: DataFrame) -> Iterator[str]:
+    """JSON of each row, a partition at a time through the driver."""
+    return (r[0] for r in rows.select(as_json(rows)).toLocalIterator())
+
+
+def _texts(rows: DataFrame) -> Iterator[str]:
+    return (json.dumps(r[0]) for r in rows.toLocalIterator())
+
+
+def write_json(path: Path, value: Mapping) -> None:
+    """A JSON object whose values are plain, mappings of such, or iterators of JSON texts, which become lists; nothing is
+    gathered."""
+    with path.open("w", encoding="utf-8") as f:
+
+        def put(own: object) -> None:
+            if isinstance(own, Mapping):
+                for i, (key, one) in enumerate(own.items()):
+                    f.write(("{" if not i else ",") + f"\n{json.dumps(key)}: ")
+                    put(one)
+                f.write("\n}" if own else "{}")
+            elif isinstance(own, Iterator):
+                f.write("[")
+                for i, text in enumerate(own):
+                    f.write((",\n" if i else "\n") + text)
+                f.write("]")
+            else:
+                f.write(json.dumps(own, default=str))
+
+        put(value)
+
+
+def write_manifest(path: Path, data: Dataset, verdict: str, removed: int, conflicts: DataFrame, validation: Validation | None, output: Path | None) -> None:
+    boundaries = data.boundaries.orderBy("boundary")
+    changed = boundaries.where("configuration_changed").select(F.concat_ws(" -> ", "previous_file", "next_file"))
     checked = validation and {
-        "valid_count": validation.records, "issues": validation.issues, "duplicate_hashes": validation.duplicates, "nominal_interval_ms": validation.nominal_ms,
-        "gaps": _with_seconds(_plain(validation.gaps)),
+        "valid_count": validation.records, "issues": validation.issues, "duplicate_hashes": _texts(validation.duplicates), "nominal_interval_ms": validation.nominal_ms,
+        "gaps": _rows(with_seconds(validation.gaps)),
     }
-    edge = lambda r, k: None if r is None else r[k]
-    return {
+    write_json(path, {
         "verdict": verdict,
         "discovered_files": data.paths,
-        "chronological_order": [r.file_name for r in found],
+        "chronological_order": _texts(data.files.orderBy("place").select("file_name")),
         "nominal_interval_ms": data.nominal_ms,
-        "configuration_changes": [f"{b['previous_file']} -> {b['next_file']}" for b in boundaries if b["configuration_changed"]],
-        "source_files": [
-            {
-                "file": r.file_name, "size_bytes": r.size or 0, "valid_ensembles": r.valid or 0, "first_rtc": edge(r.first, "rtc_text"), "last_rtc": edge(r.last, "rtc_text"),
-                "first_ensemble_number": edge(r.first, "number"), "last_ensemble_number": edge(r.last, "number"), "fixed_leader_fingerprints": r.configs or {},
-                "fragments": [e for e in edges if e["file"] == r.file],
-            }
-            for r in found
-        ],
-        "boundaries": boundaries,
-        "split_candidates": _plain(data.splits.select(*SPLIT).collect()),
+        "configuration_changes": _texts(changed),
+        "source_files": _rows(source_files(data)),
+        "boundaries": _rows(boundaries.drop("boundary")),
+        "split_candidates": _rows(data.splits.orderBy("boundary", "previous_offset").select(*SPLIT)),
         "duplicate_removed": removed,
-        "conflicts": conflicts,
-        "accepted_records": _plain(ensemble_map(data).drop("output_byte_offset").toLocalIterator()),
-        "gaps": _with_seconds(_plain(data.gaps.collect())),
+        "conflicts": _texts(conflicts),
+        "accepted_records": _rows(ensemble_map(data.accepted).drop("output_byte_offset")),
+        "gaps": _rows(with_seconds(data.gaps)),
         "validation": checked,
         "recovered_path": None if output is None else str(output),
-    }
+    })
 
 
 def _seconds(ms: int | None) -> str:
     return "unknown" if ms is None else f"{ms / 1000:.3f} s"
 
 
-def _table(names: list[str], rows: Iterable[Iterable]) -> list[str]:
-    return [f"| {' | '.join(names)} |", "|" + " --- |" * len(names), *[f"| {' | '.join('' if v is None else str(v) for v in r)} |" for r in rows], ""]
+def _table(names: list[str], rows: Iterable[Iterable]) -> Iterator[str]:
+    yield f"| {' | '.join(names)} |"
+    yield "|" + " --- |" * len(names)
+    for r in rows:
+        yield f"| {' | '.join('' if v is None else str(v) for v in r)} |"
+    yield ""
 
 
 def group_text(groups: list[Group]) -> str:
@@ -129,36 +170,73 @@ def group_text(groups: list[Group]) -> str:
     return "\n".join([*lines, ""])
 
 
-def analysis_text(data: Dataset) -> str:
+def analysis_lines(data: Dataset) -> Iterator[str]:
     """Files, boundaries, splits and edges of one group."""
-    files = inventory(data).collect()
-    edges = [f"- {e.file_name}, {e.side}: byte {e.byte_offset}, {e.available} of {e.declared} bytes, ensemble {e.number}, clock {e.rtc_text}, {e.classification}" for e in data.fragments.orderBy("file", "side").collect()]
-    boundaries = data.boundaries.orderBy("boundary").collect()
-    changes = [f"- configuration changes from `{b.previous_file}` to `{b.next_file}`" for b in boundaries if b.configuration_changed]
-    return "\n".join([
-        f"- Files in order of time: {', '.join(r.file for r in files)}", f"- Nominal interval: {_seconds(data.nominal_ms)}", "", "## Files", "",
-        *_table(["file", "bytes", "records", "first number", "last number", "first clock", "last clock", "bad checksums", "other data", "truncated"],
-                [(r.file, r.size_bytes, r.valid_ensembles, r.first_valid_ensemble_number, r.last_valid_ensemble_number, r.first_valid_rtc, r.last_valid_rtc, r.checksum_error_regions, r.non_pd0_regions, r.truncated_regions) for r in files]),
-        "## Damage at edges", "", *(edges or ["- none"]), "", "## Boundaries", "",
-        *_table(["from", "to", "status", "facts", "elapsed", "expected", "missing", "counter", "copies", "conflicts"],
-                [(b.previous_file, b.next_file, b.primary_status, ", ".join(b.facts), _seconds(b.elapsed_ms), _seconds(b.nominal_interval_ms), _seconds(b.missing_acquisition_ms), b.counter_transition, b.exact_duplicate_overlap, b.conflicting_time_overlap) for b in boundaries]),
-        "## Records across files", "",
-        *([f"- `{s.previous_file}` at {s.previous_offset} with {s.next_consumed_bytes} bytes of `{s.next_file}`: {s.status}; {s.reason}" for s in data.splits.orderBy("boundary", "previous_offset").collect()] or ["- none"]),
-        *changes, "",
-    ])
-
-
-def recovery_text(data: Dataset, verdict: str, accepted: int, removed: int, conflicts: list[str], validation: Validation | None, output: Path | None) -> str:
-    gaps = [f"- {g.before_rtc} ({g.before_source}) to {g.after_rtc} ({g.after_source}): {_seconds(g.missing_acquisition_ms)} missing, about {g.estimated_missing_ensembles} record(s), {g.location}" for g in data.gaps.orderBy("before_rtc").toLocalIterator()]
-    decision = ["- withheld: records contradict each other", *[f"- {c}" for c in conflicts]] if conflicts else [f"- recovered file: {output or 'withheld'}", "- every byte comes from a source; checksums are the original ones"]
-    return "\n".join([
-        "# Recovery", "", f"- Verdict: `{verdict}`", f"- Records accepted: {accepted}", f"- Copies removed: {removed}", analysis_text(data), "## Gaps", "", *(gaps or ["- none"]), "",
-        "## Decision", "", *decision, f"- validation issues: {len(validation.issues) if validation else 'not validated'}", "",
-    ])
-
-
-def validation_text(verdict: str, validation: Validation | None) -> str:
+    files = lambda: inventory(data.files, data.fragments).toLocalIterator()
+    boundaries = lambda: data.boundaries.orderBy("boundary").toLocalIterator()
+    yield f"- Files in order of time: {', '.join(r.file for r in files())}"
+    yield from (f"- Nominal interval: {_seconds(data.nominal_ms)}", "", "## Files", "")
+    yield from _table(
+        ["file", "bytes", "records", "first number", "last number", "first clock", "last clock", "bad checksums", "other data", "truncated"],
+        ((r.file, r.size_bytes, r.valid_ensembles, r.first_valid_ensemble_number, r.last_valid_ensemble_number, r.first_valid_rtc, r.last_valid_rtc, r.checksum_error_regions, r.non_pd0_regions, r.truncated_regions) for r in files()),
+    )
+    yield from ("## Damage at edges", "")
+    yield from _or_none(
+        f"- {e.file_name}, {e.side}: byte {e.byte_offset}, {e.available} of {e.declared} bytes, ensemble {e.number}, clock {e.rtc_text}, {e.classification}"
+        for e in data.fragments.orderBy("file", "side").toLocalIterator()
+    )
+    yield from ("", "## Boundaries", "")
+    yield from _table(
+        ["from", "to", "status", "facts", "elapsed", "expected", "missing", "counter", "copies", "conflicts"],
+        ((b.previous_file, b.next_file, b.primary_status, ", ".join(b.facts), _seconds(b.elapsed_ms), _seconds(b.nominal_interval_ms), _seconds(b.missing_acquisition_ms), b.counter_transition, b.exact_duplicate_overlap, b.conflicting_time_overlap) for b in boundaries()),
+    )
+    yield from ("## Records across files", "")
+    yield from _or_none(
+        f"- `{s.previous_file}` at {s.previous_offset} with {s.next_consumed_bytes} bytes of `{s.next_file}`: {s.status}; {s.reason}" for s in data.splits.orderBy("boundary", "previous_offset").toLocalIterator()
+    )
+    yield from (f"- configuration changes from `{b.previous_file}` to `{b.next_file}`" for b in boundaries() if b.configuration_changed)
+    yield ""
+
+
+def _or_none(lines: Iterable[str]) -> Iterator[str]:
+    n = 0
+    for n, line in enumerate(lines, 1):  # noqa: B007
+        yield line
+    if not n:
+        yield "- none"
+
+
+def recovery_lines(data: Dataset, verdict: str, accepted: int, removed: int, conflicts: DataFrame, validation: Validation | None, output: Path | None) -> Iterator[str]:
+    yield from ("# Recovery", "", f"- Verdict: `{verdict}`", f"- Records accepted: {accepted}", f"- Copies removed: {removed}")
+    yield from analysis_lines(data)
+    yield from ("## Gaps", "")
+    yield from _or_none(
+        f"- {g.before_rtc} ({g.before_source}) to {g.after_rtc} ({g.after_source}): {_seconds(g.missing_acquisition_ms)} missing, about {g.estimated_missing_ensembles} record(s), {g.location}"
+        for g in data.gaps.orderBy("before_rtc").toLocalIterator()
+    )
+    yield from ("", "## Decision", "")
+    clash = False
+    for row in conflicts.toLocalIterator():
+        if not clash:
+            yield "- withheld: records contradict each other"
+        clash = True
+        yield f"- {row[0]}"
+    if not clash:
+        yield from (f"- recovered file: {output or 'withheld'}", "- every byte comes from a source; checksums are the original ones")
+    yield from (f"- validation issues: {len(validation.issues) if validation else 'not validated'}", "")
+
+
+def validation_lines(verdict: str, validation: Validation | None) -> Iterator[str]:
+    yield from ("# Validation", "", f"- Verdict: `{verdict}`")
     if validation is None:
-        return f"# Validation\n\n- Verdict: `{verdict}`\n- no output was written; it needs review first\n"
-    lines = [f"- records parsed from byte 0: {validation.records}", f"- repeated records: {len(validation.duplicates)}", f"- nominal interval: {_seconds(validation.nominal_ms)}", f"- gaps: {len(validation.gaps)}"]
-    return "\n".join(["# Validation", "", f"- Verdict: `{verdict}`", *lines, *[f"- issue: {i}" for i in validation.issues], *([] if validation.issues else ["- the file parses to its end without faults"])]) + "\n"
+        yield "- no output was written; it needs review first"
+        return
+    yield from (f"- records parsed from byte 0: {validation.records}", f"- repeated records: {validation.duplicates.count()}", f"- nominal interval: {_seconds(validation.nominal_ms)}", f"- gaps: {validation.gaps.count()}")
+    yield from (f"- issue: {i}" for i in validation.issues)
+    if not validation.issues:
+        yield "- the file parses to its end without faults"
+
+
+def write_lines(path: Path, lines: Iterable[str]) -> None:
+    with path.open("w", encoding="utf-8") as f:
+        f.writelines(f"{line}\n" for line in lines)

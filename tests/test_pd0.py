@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from plumbline.cli import main
+from plumbline.operators.files import merge_regions
 from plumbline.plans import actions
 from plumbline.plans.dataset import Dataset, find_groups, only_group, validate_file
 from plumbline.sources.pd0 import Fault, Frame, checksum, frame_at, walk, walk_strict
@@ -103,7 +104,7 @@ def test_regions_after_a_failed_candidate_overlap():
 
 def test_record_columns(spark, tmp_path):
     paths = put(tmp_path, a=record(70_000, at(1.25)) + record(5, bytes([51, 13, 1, 2, 3, 60, 100])))
-    first, second = Dataset(spark, paths).records.orderBy("start").collect()
+    first, second = Dataset(spark, paths).with_bytes.orderBy("start").collect()
     data = record(70_000, at(1.25))
     assert (first.number, first.number_lsb, first.number_msb, first.rtc, first.rtc_text) == (70_000, 70_000 - 65_536, 1, at(1.25), "2024-03-01T12:00:01.250")
     assert (first.digest, first.config) == (hashlib.sha256(data).hexdigest(), hashlib.sha256(data[12:52]).hexdigest())
@@ -113,6 +114,19 @@ def test_record_columns(spark, tmp_path):
     assert bytes(second.payload) == record(5, bytes([51, 13, 1, 2, 3, 60, 100]))
 
 
+def test_only_like_neighbours_are_merged(spark):
+    """Three regions side by side that differ in candidacy and declared length stay three; alike ones become one, and
+    another region between two of them keeps them apart."""
+    rows = [
+        ("f", 0, 2, "TRUNCATED_ENSEMBLE", "r", True, 83), ("f", 2, 4, "TRUNCATED_ENSEMBLE", "r", False, 83), ("f", 4, 6, "TRUNCATED_ENSEMBLE", "r", False, None),
+        ("f", 6, 8, "TRUNCATED_ENSEMBLE", "r", False, None), ("g", 0, 5, "NON_PD0_DATA", "s", False, None), ("g", 2, 3, "BAD_CHECKSUM", "t", True, None), ("g", 5, 6, "NON_PD0_DATA", "s", False, None),
+        ("h", 0, 2, "VALID_ENSEMBLE", "v", True, 2), ("h", 2, 4, "VALID_ENSEMBLE", "v", True, 2),
+    ]
+    regions = spark.createDataFrame(rows, "file string, start long, end long, classification string, reason string, is_candidate boolean, declared long")
+    got = sorted((r.file, r.start, r.end) for r in merge_regions(regions).collect())
+    assert got == [("f", 0, 2), ("f", 2, 4), ("f", 4, 8), ("g", 0, 5), ("g", 2, 3), ("g", 5, 6), ("h", 0, 2), ("h", 2, 4)]
+
+
 # recovery
 
 
@@ -202,7 +216,7 @@ def test_odd_files(spark, tmp_path):
     path = tmp_path / "spoiled.000"
     path.write_bytes(two(1, 2)[:-1] + b"\xaa")
     checked = validate_file(spark, str(path))
-    assert checked.records == 1 and len(checked.issues) == 2 and checked.issues[0].startswith("validation stopped at byte 83: BAD_CHECKSUM")
+    assert checked.records == 1 and len(checked.issues) == 2 and checked.issues[0].startswith("parsing stopped at byte 83: BAD_CHECKSUM")
 
 
 # inputs and command line
@@ -247,6 +261,12 @@ def test_slices(spark, tmp_path, kept, options):
     assert (tmp_path / "o/b.000").read_bytes() == b"".join(parts[i] for i in kept)
 
 
+def test_version(capsys):
+    with pytest.raises(SystemExit) as done:
+        main(["--version"])
+    assert done.value.code == 0 and capsys.readouterr().out.startswith("plumbline 0.")
+
+
 def test_slice_refusals(spark, tmp_path, capsys):
     (path,) = put(tmp_path, a=two(1, 2))
     for options in ({"first": 0}, {"first": 3}, {"last": -1}, {"range_spec": "2:1"}, {"range_spec": "1:3"}, {"range_spec": "1"}, {"range_spec": "a:b"}, {}, {"first": 1, "last": 1}):
@@ -261,7 +281,7 @@ def test_slice_refusals(spark, tmp_path, capsys):
     assert main(["slice", junk, "--first", "1", "--dry-run"], spark) == 0
     assert "Unparsed bytes: 9" in capsys.readouterr().out
     assert main(["slice", junk, "--first", "1", "--output", str(tmp_path / "n.000")], spark) == 1
-    assert not (tmp_path / "n.000").exists() and "refusing to discard" in capsys.readouterr().err
+    assert not (tmp_path / "n.000").exists() and "9 bytes belong to no record" in capsys.readouterr().err
 
 
 def test_bin_trim(spark, tmp_path, capsys):
@@ -301,7 +321,7 @@ def test_data_source_reads_and_writes(spark, tmp_path):
     assert found.where("kind = 'record'").count() == 3
     assert {r.path for r in found.where("kind = 'file'").collect()} == set(paths)
     assert spark.read.format("pd0").option("mode", "strict").load(paths[1]).where("kind = 'record'").count() == 0
-    rows = Dataset(spark, paths).records.orderBy(F.desc("start"), "file")
+    rows = Dataset(spark, paths).with_bytes.orderBy(F.desc("start"), "file")
     rows.select("payload").write.format("pd0").mode("append").save(str(tmp_path / "o.000"))
     assert len((tmp_path / "o.000").read_bytes()) == 249 and not (tmp_path / "o.000.parts").exists()
 
