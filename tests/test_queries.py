@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from plumbline import scenarios  # noqa: F401
 from plumbline.queries import ORACLE_SQL, QUERIES
 
 AT = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
