@@ -16,8 +16,8 @@ def split_candidates(records: DataFrame, regions: DataFrame, contents: DataFrame
     """One row for each truncated record that reaches the end of an earlier file, where the next file begins with bytes
     that no record holds: whether both parts make a record, and why not. bytes_data holds a safe one.
 
-    pairs: adjacent() of files with region_facts; contents: (path, content). There are a few candidates for a file, so
-    the joins to the contents read whole files but shuffle only the candidates' own bytes.
+    pairs: adjacent() of files with region_facts; contents: (path, content). Only files with a candidate enter the search
+    for the records around it, and what is cut from the contents is the candidates' own bytes.
     """
     cut = regions.where((F.col("classification") == TRUNCATED) & (F.col("end") == F.col("size")) & F.col("declared").isNotNull())
     cut = cut.select("file", F.col("start").alias("cut_at"), "declared", (F.col("size") - F.col("start")).alias("available"))
@@ -30,15 +30,20 @@ def split_candidates(records: DataFrame, regions: DataFrame, contents: DataFrame
     rows = rows.withColumn("key", F.concat_ws(":", "boundary", "cut_at"))
 
     wanted = rows.where("inside")
-    tail = wanted.join(contents, wanted.file == contents.path).select("key", F.expr("substring(content, CAST(cut_at AS INT) + 1)").alias("tail"))
-    head = wanted.join(contents, wanted.next_path == contents.path).select("key", F.expr("substring(content, 1, CAST(missing AS INT))").alias("head"))
-    whole = tail.join(head, "key").select(F.col("key").alias("path"), F.concat("tail", "head").alias("content"))
+    # both parts of each candidate in one pass over the contents
+    sides = {"tail": ("file", F.col("cut_at"), F.col("available")), "head": ("next_path", F.lit(0).cast("long"), F.col("missing"))}
+    parts = F.array(*[F.struct(F.lit(name).alias("part"), F.col(path).alias("path"), begin.alias("begin"), n.alias("n")) for name, (path, begin, n) in sides.items()])
+    cuts = wanted.select("key", F.inline(parts)).join(contents.select("path", "content"), "path")
+    cuts = cuts.select("key", "part", F.expr("substring(content, CAST(begin AS INT) + 1, CAST(n AS INT))").alias("piece"))
+    joined = F.concat(*[F.max(F.when(F.col("part") == name, F.col("piece"))) for name in sides])
+    whole = cuts.groupBy(F.col("key").alias("path")).agg(joined.alias("content"))
     parsed = scan_contents(whole, "strict")
     good = parsed_records(parsed).where("start = 0").select(F.col("file").alias("key"), F.struct("number", "rtc", "rtc_text", "config", "digest", "payload", "total_bytes").alias("made"))
     bad = parsed_regions(parsed).where("start = 0 AND classification <> 'VALID_ENSEMBLE'").select(F.col("file").alias("key"), F.concat_ws(": ", "classification", "reason").alias("fault"))
 
-    before = last_complete_before(records, rows.select("file", F.col("cut_at").alias("at")).distinct())
-    known = before.join(records.select("file", F.col("start").alias("before"), F.struct("rtc", "config").alias("preceding")), ["file", "before"]).select("file", F.col("at").alias("cut_at"), "preceding")
+    cut_files = records.join(rows.select("file").distinct(), "file", "left_semi")
+    before = last_complete_before(cut_files, rows.select("file", F.col("cut_at").alias("at")).distinct())
+    known = before.join(cut_files.select("file", F.col("start").alias("before"), F.struct("rtc", "config").alias("preceding")), ["file", "before"]).select("file", F.col("at").alias("cut_at"), "preceding")
     rows = rows.join(good, "key", "left").join(bad, "key", "left").join(known, ["file", "cut_at"], "left")
 
     made, preceding, following = F.col("made"), F.col("preceding"), F.col("following")

@@ -438,15 +438,16 @@ def pd0_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT file, CASE WHEN bad THEN 'BAD_CHECKSUM' ELSE 'VALID_ENSEMBLE' END AS classification, start, start + CASE WHEN bad THEN 2 ELSE 83 END AS "end",
         CASE WHEN NOT bad THEN number END::BIGINT AS number, CASE WHEN NOT bad THEN rtc_text END AS rtc_text, CASE WHEN NOT bad THEN sha256(unhex(bytes)) END AS digest FROM seated""")
 def scan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of events, with noise before one in ten and a wrong checksum in one of 23, put together and scanned."""
+    """Files of events, with noise before one in ten and a wrong checksum in one of 23, put together and scanned once."""
     from .sources import pd0
+    from .sources.shared import keep
 
     noise = F.when(F.col("event_id") % 10 == 0, F.lit(b"noise")).otherwise(F.lit(b""))
     flipped = F.concat(F.expr("substring(bytes, 1, 81)"), encode_u16((u16("bytes", 81) + 1) % 65536))
     piece = F.concat(noise, F.when(F.col("event_id") % 23 == 0, flipped).otherwise(F.col("bytes")))
     laid = plain_bytes(spark, sf_dir).select("file", "event_id", piece.alias("piece"))
     content = laid.groupBy(F.col("file").alias("path")).agg(F.expr("listagg(piece) WITHIN GROUP (ORDER BY event_id)").alias("content"))
-    scanned = pd0.scan_contents(content)
+    scanned = keep(pd0.scan_contents(content, payloads=False), "scan")
     good = pd0.records(scanned).select("file", F.lit("VALID_ENSEMBLE").alias("classification"), "start", "end", F.col("number").cast("long").alias("number"), "rtc_text", "digest")
     bad = pd0.regions(scanned).where("classification = 'BAD_CHECKSUM'").select("file", "classification", "start", "end")
     return good.unionByName(bad, allowMissingColumns=True)
@@ -492,6 +493,7 @@ def split_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .functions.encode import plain_record
     from .operators import splits
     from .sources import pd0
+    from .sources.shared import keep
 
     rows = plain_bytes(spark, sf_dir)
     days = rows.groupBy("file").agg(F.expr("listagg(bytes) WITHIN GROUP (ORDER BY event_id)").alias("body"), F.max_by("clock", "event_id").alias("clock"), F.max("number").alias("number"))
@@ -500,7 +502,8 @@ def split_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.when(F.col("place") % 5 == 0, F.expr("overlay(cut PLACING X'55' FROM 60)")).otherwise(F.col("cut"))
     days = days.withColumn("tail", tail).withColumn("head", F.expr("substring(lag(tail) OVER (ORDER BY file), 72)"))
     contents = days.select(F.col("file").alias("path"), F.concat(F.coalesce("head", F.lit(b"")), "body", F.expr("substring(tail, 1, 71)")).alias("content"))
-    scanned = pd0.scan_contents(contents)
+    contents = keep(contents, "contents")
+    scanned = keep(pd0.scan_contents(contents, payloads=False), "scan")  # once, without bytes, for records and regions
     records, regions = pd0.records(scanned), pd0.regions(scanned)
     facts = files.chronological(files.record_facts(records).join(files.region_facts(regions), "file", "left"))
     found = splits.split_candidates(records, regions, contents, files.adjacent(facts))
