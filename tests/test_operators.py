@@ -1,5 +1,6 @@
 """Operators where the tables hold no case."""
 
+import json
 from datetime import datetime
 
 import pytest
@@ -8,7 +9,8 @@ from hypothesis import strategies as st
 
 from plumbline.functions import common_value, full_year, in_order, primary_status
 from plumbline.operators import cadence, recovery
-from plumbline.operators.ordered import global_lag, global_running_total
+from plumbline.operators.ordered import _parts, global_lag, global_running_total
+from plumbline.plans.reports import write_json
 from pyspark.sql import functions as F
 
 SLOW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -63,6 +65,22 @@ def test_verdict_order(spark):
     assert list(got) == [w for _, w in cases]
 
 
+def test_json_is_written_row_by_row(tmp_path):
+    rows = ({"n": i, "x": None} for i in range(1000))
+    value = {"a": 1, "none": None, "rows": (json.dumps(r) for r in rows), "nothing": iter([]), "in": {"t": "é\"", "l": [1, "b"]}, "empty": {}}
+    write_json(tmp_path / "x.json", value)
+    told = json.loads((tmp_path / "x.json").read_text(encoding="utf-8"))
+    assert told == {"a": 1, "none": None, "rows": [{"n": i, "x": None} for i in range(1000)], "nothing": [], "in": {"t": "é\"", "l": [1, "b"]}, "empty": {}}
+
+
+def test_equal_and_missing_keys_lie_in_several_parts(spark):
+    """One clock on all rows, then none at all: the order's other columns deal the rows."""
+    for k in (7, None):
+        rows = _parts(spark.createDataFrame([(i, k) for i in range(400)], "id long, k long").repartition(4), [F.col("k"), F.col("id")], 4)
+        sizes = [r["count"] for r in rows.groupBy("__part").count().collect()]
+        assert len(sizes) >= 3 and max(sizes) < 250
+
+
 def test_provenance_problems(spark):
     mapped = spark.createDataFrame([(0, 3, "a"), (3, 2, "b")], "output_byte_offset long, total_bytes long, digest string")
     output = spark.createDataFrame([(0, 3, "a"), (3, 2, "x")], "start long, total_bytes long, digest string")
