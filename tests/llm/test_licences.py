@@ -119,6 +119,13 @@ def test_notices_over_paragraphs_and_inside_a_line(spark):
     assert line[got[3, "mit-reference"].begin : got[3, "mit-reference"].end] == "released under the MIT License"
 
 
+def test_the_headers_of_one_family_are_told_apart():
+    scanner = LicenceScanner(TEMPLATES, LEAST)
+    for name in ("gpl-2.0-header", "gpl-3.0-header", "lgpl-2.1-header", "agpl-3.0-header", "bsd-2-clause", "bsd-3-clause"):
+        hits = {h[0]: h[1] for h in scanner.notices("Before it. " + TEMPLATES[name] + " After it, other words follow.")}
+        assert hits[name] == max(hits.values()) == 1.0 and sum(d == 1.0 for d in hits.values()) == 1 + (name == "bsd-3-clause")
+
+
 def test_many_notices_in_one_text_are_all_found():
     text = (TEMPLATES["mit"] + " ") * 100 + "All rights reserved " * 3000
     hits = [h for h in LicenceScanner(TEMPLATES, LEAST).notices(text) if not h[4]]

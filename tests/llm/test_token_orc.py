@@ -51,7 +51,10 @@ def test_footers_have_bloom_filters(spark, tmp_path):
     conf = spark._jsc.hadoopConfiguration()
     one = next(p for p in tmp_path.joinpath("tokens").iterdir() if p.suffix == ".orc")
     footer = reader.createReader(spark._jvm.org.apache.hadoop.fs.Path(f"file://{one}"), reader.readerOptions(conf))
-    kinds = [str(s.getKind()) for s in footer.rows().readStripeFooter(footer.getStripes().get(0)).getStreamsList()]
+    stripe = footer.rows().readStripeFooter(footer.getStripes().get(0))
+    kinds = [str(s.getKind()) for s in stripe.getStreamsList()]
+    encodings = [str(c.getKind()) for c in stripe.getColumnsList()]  # the row, doc_id, file_start, n_tokens, tokens, one token
+    assert encodings == ["DIRECT", *["DIRECT_V2"] * 5]  # integers in runs
     assert "BLOOM_FILTER_UTF8" in kinds and "ROW_INDEX" in kinds
     assert footer.getRowIndexStride() == 1000
 
