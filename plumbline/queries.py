@@ -251,11 +251,13 @@ def retained_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(rows.where(recovery.removed_by(between=(7, 31))), ["file", "start"], "left_anti").select("file", "start")
 
 
-@query("index_ranges_text", sql(f""", chosen AS (SELECT file, physical_index AS i FROM ({INDEXED}) WHERE start % 28 < 20),
+@query("index_ranges_text", sql(f""", chosen AS (SELECT file, physical_index AS i FROM ({INDEXED}) JOIN (SELECT file, start FROM kept) USING (file, start)),
     runs AS (SELECT file, min(i) AS a, max(i) AS b FROM (SELECT *, i - row_number() OVER (PARTITION BY file ORDER BY i) AS g FROM chosen) GROUP BY file, g)
-    SELECT file, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) AS ranges FROM runs GROUP BY file""", "archive").replace(") ,", "),"))
+    SELECT file, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) AS ranges FROM runs GROUP BY file""", "kept").replace(") ,", "),"))
 def index_ranges_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recovery.index_ranges(recovery.physical_index(archive(spark, sf_dir)).where("start % 28 < 20"))
+    """The places of each file's records that stay when copies go."""
+    rows = archive(spark, sf_dir)
+    return recovery.index_ranges(recovery.physical_index(rows).join(recovery.keep_first(rows).select("file", "start"), ["file", "start"], "left_semi"))
 
 
 # Regions laid out from events: a run of bytes for each event, kinds and reasons by its id.
