@@ -183,13 +183,13 @@ def shard_forest(fp: np.ndarray, home: np.ndarray, radius: int, leaf_rows: int =
 
 
 def link_fingerprints(
-    nodes: DataFrame, *, radius: int = 2, shard_rows: int = 8192, sample_per_shard: int = 64, sample_most: int = 1 << 22
+    nodes: DataFrame, *, radius: int = 2, shard_rows: int = 16_384, sample_per_shard: int = 64, sample_most: int = 1 << 22
 ) -> DataFrame:
     """Spanning edges (a, b) of all pairs of `nodes` (fp, rep: distinct both, no nulls) whose fp differ in at most
     `radius` bits; no nodes give no edges. The shards' tree is built on the driver from at most sample_most fingerprints:
-    those with the smallest hashes. Every fingerprint is compared; the sample only places the boundaries. No task gets
-    much more than four times shard_rows rows, whatever the sample missed: a shard of more than twice shard_rows is cut
-    into parts by a hash, and each two of its parts meet in a task."""
+    those with the smallest hashes. Every fingerprint is compared; the sample only places the boundaries. A shard that
+    turns out to be the home of more than four times shard_rows is cut into parts by a hash, and each two of its parts
+    meet in a task."""
     spark = nodes.sparkSession
     rows = nodes.count()
     shards = max(1, -(-rows // shard_rows))
@@ -218,16 +218,18 @@ def link_fingerprints(
         return pd.DataFrame({"a": rep[bound], "b": rep[root[bound]]})
 
     routed = nodes.select("fp", "rep").mapInArrow(route, "shard long, fp long, rep long, home boolean")
-    # one row for each shard: a row for shard_rows fingerprints
-    sizes = routed.groupBy("shard").agg(F.count("*").alias("n"))
-    parts = sizes.select("shard", F.when(F.col("n") > 2 * shard_rows, F.ceil(F.col("n") / shard_rows)).otherwise(1).cast("int").alias("parts"))
-    placed = routed.join(F.broadcast(parts), "shard").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    # one row for each dense shard, of more than four times as many homes as the sample promised
+    dense = routed.where("home").groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 4 * shard_rows)
+    dense = materialize(dense.select("shard", F.ceil(F.col("n") / shard_rows).cast("int").alias("parts")), "dense-shards")
+    plain = routed.join(F.broadcast(dense), "shard", "left_anti").withColumns({"low": F.lit(0), "high": F.lit(0)})
+    split = routed.join(F.broadcast(dense), "shard").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least("own", p).alias("low"), F.greatest("own", p).alias("high")))
-    dealt = placed.withColumn("tile", F.explode(others)).select("shard", "tile.low", "tile.high", "fp", "rep", "home")
+    tiled = split.withColumn("tile", F.explode(others)).select("shard", "fp", "rep", "home", "tile.low", "tile.high")
+    dealt = plain.unionByName(tiled) if dense.limit(1).count() else plain
     return dealt.groupBy("shard", "low", "high").applyInPandas(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, radius: int = 2, shard_rows: int = 8192) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, radius: int = 2, shard_rows: int = 16_384) -> DataFrame:
     """(doc_id, fp, component_id) for every row of `docs` (doc_id, text; other columns are ignored).
 
     Rows link when their fingerprints differ in at most `radius` bits; component_id is the smallest doc_id that links
