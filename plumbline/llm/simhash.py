@@ -268,11 +268,13 @@ def keep_representatives(docs: DataFrame, **options: int) -> DataFrame:
         return pd.Series(np.fromiter(map(fingerprint, texts), dtype=np.uint64, count=len(texts)).view(np.int64))
 
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    single = docs.join(once, "doc_id", "left_semi").select(columns).unionByName(docs.where("doc_id is null"))
+    if not ids.where("n > 1").limit(1).count():
+        return single  # no doc_id is repeated, so no row needs its fingerprint again
     row = F.struct(*columns)
     rows = docs.join(again, "doc_id", "left_semi").select(
         F.col("doc_id").cast("long").alias("id"), own_fingerprint(F.col("text").cast("string")).alias("fp"), row.alias("row"),
         F.struct(F.xxhash64("text"), F.to_json(row)).alias("place"),
     )
     several = rows.join(stand, ["id", "fp"], "left_semi").groupBy("id").agg(F.min_by("row", "place").alias("row")).select("row.*")
-    single = docs.join(once, "doc_id", "left_semi").select(columns)
-    return single.unionByName(several).unionByName(docs.where("doc_id is null"))
+    return single.unionByName(several)
