@@ -9,6 +9,9 @@ from ..functions import to_millis
 from ..vocabulary import FAIL, NATIVE_CONFLICT, PASS, PASS_WITH_FRAGMENTS, PASS_WITH_GAPS, REBUILT_CONFLICT, REVIEW
 from .ordered import global_lag, global_running_total
 
+#: Bytes of a file whose records one task puts in order.
+STRETCH = 16 << 20
+
 
 def order_columns() -> list[Column]:
     """The order of recovered records: by clock, records without one last."""
@@ -92,9 +95,20 @@ def verdict(conflicts: Column, ambiguous: Column, issues: Column, fragments: Col
 
 
 def physical_index(records: DataFrame) -> DataFrame:
-    """Records with physical_index, from 1 in the order of bytes, and the file's total."""
+    """Records with physical_index, from 1 in the order of bytes, and the file's total. A file's stretches of bytes are
+    windows of their own; of each, the number of records before it is added."""
+    rows = records.withColumn("__stretch", F.floor(F.col("start") / STRETCH))
+    counts = rows.groupBy("file", "__stretch").agg(F.count("*").alias("n"))
     own = Window.partitionBy("file")
-    return records.withColumns({"physical_index": F.row_number().over(own.orderBy("start")), "total": F.count("*").over(own)})
+    order = own.orderBy("__stretch")
+    before = counts.select(
+        F.col("file").alias("__file"), F.col("__stretch").alias("__of"), F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+        F.sum("n").over(own).alias("total"),
+    )
+    same = F.col("file").eqNullSafe(F.col("__file")) & F.col("__stretch").eqNullSafe(F.col("__of"))
+    place = F.row_number().over(Window.partitionBy("file", "__stretch").orderBy("start"))
+    joined = rows.withColumn("__place", place).join(before.withColumnRenamed("total", "__total"), same)
+    return joined.select(*[c for c in records.columns if c not in ("physical_index", "total")], (F.col("__before") + F.col("__place")).cast("int").alias("physical_index"), F.col("__total").alias("total"))
 
 
 def removed_by(first: int | None = None, last: int | None = None, between: tuple[int, int] | None = None) -> Column:

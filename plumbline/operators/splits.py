@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +14,12 @@ from ..vocabulary import REJECTED_SPLIT, SAFE_SPLIT, SPLIT_LATE, SPLIT_OTHER_LEA
 from .boundaries import last_complete_before
 
 
-def split_candidates(records: DataFrame, regions: DataFrame, contents: DataFrame, pairs: DataFrame) -> DataFrame:
+def split_candidates(records: DataFrame, regions: DataFrame, contents: DataFrame, pairs: DataFrame, pieces: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row for each truncated record that reaches the end of an earlier file, where the next file begins with bytes
     that no record holds: whether both parts make a record, and why not. bytes_data holds a safe one.
 
-    pairs: adjacent() of files with region_facts; contents: (path, content). Only files with a candidate enter the search
+    pairs: adjacent() of files with region_facts; contents: (path, content); pieces: what takes the parts from the files
+    in place of `contents`, as cut_pieces() does. Only files with a candidate enter the search
     for the records around it, and what is cut from the contents is the candidates' own bytes.
     """
     cut = regions.where((F.col("classification") == TRUNCATED) & (F.col("end") == F.col("size")) & F.col("declared").isNotNull())
@@ -33,8 +36,11 @@ def split_candidates(records: DataFrame, regions: DataFrame, contents: DataFrame
     # both parts of each candidate in one pass over the contents
     sides = {"tail": ("file", F.col("cut_at"), F.col("available")), "head": ("next_path", F.lit(0).cast("long"), F.col("missing"))}
     parts = F.array(*[F.struct(F.lit(name).alias("part"), F.col(path).alias("path"), begin.alias("begin"), n.alias("n")) for name, (path, begin, n) in sides.items()])
-    cuts = wanted.select("key", F.inline(parts)).join(contents.select("path", "content"), "path")
-    cuts = cuts.select("key", "part", F.expr("substring(content, CAST(begin AS INT) + 1, CAST(n AS INT))").alias("piece"))
+    cuts = wanted.select("key", F.inline(parts))
+    if pieces is not None:
+        cuts = pieces(cuts)
+    else:
+        cuts = cuts.join(contents.select("path", "content"), "path").select("key", "part", F.expr("substring(content, CAST(begin AS INT) + 1, CAST(n AS INT))").alias("piece"))
     joined = F.concat(*[F.max(F.when(F.col("part") == name, F.col("piece"))) for name in sides])
     whole = cuts.groupBy(F.col("key").alias("path")).agg(joined.alias("content"))
     parsed = scan_contents(whole, "strict")

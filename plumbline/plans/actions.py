@@ -149,7 +149,8 @@ def write_slice(plan: SlicePlan, output: str) -> int:
         found.close()
         return [*found.issues, *_differing(spark, wanted, path)]
 
-    publish(left.join(plan.data.payloads, ["file", "start"]).orderBy("physical_index"), target, "slice-tmp", check)
+    bytes_ = plan.data.with_bytes.select("start", "payload")  # of one file
+    publish(left.select("start").join(bytes_, "start").orderBy("start"), target, "slice-tmp", check)
     return plan.total - plan.removed_count
 
 
@@ -190,7 +191,9 @@ def write_bin_trim(plan: BinPlan, output: str) -> int:
             issues.append(f"it has {size} bytes instead of {t.records * (t.record_bytes - t.removed_bytes)}")
         if found.regions.where(F.col("classification") != VALID).limit(1).count():
             issues.append("some bytes belong to no record with a valid checksum")
-        bad = bins.trim_faults(recovery.physical_index(plan.data.with_bytes), recovery.physical_index(found.with_bytes), t).limit(3).collect()
+        # all records of the input have one length, and those of a right output another: places follow from the starts
+        place = lambda df, n: df.withColumn("physical_index", F.floor(F.col("start") / n) + 1)
+        bad = bins.trim_faults(place(plan.data.with_bytes, t.record_bytes), place(found.with_bytes, t.record_bytes - t.removed_bytes), t).limit(3).collect()
         found.close()
         return [*issues, *[f"record {r.physical_index}: {r.fault}" for r in bad]]
 

@@ -72,12 +72,12 @@ class Dataset:
     @cached_property
     def scanned(self) -> DataFrame:
         """What the scan tells, without the records' bytes."""
-        return self._keep(pd0.scan_contents(self.contents, self.mode, payloads=False))
+        return self._keep(pd0.scan_files(self.spark, self.paths, self.mode, payloads=False))
 
     @cached_property
     def with_bytes(self) -> DataFrame:
         """Records with their payload, from a scan of its own that is not kept: only outputs need it."""
-        return pd0.records(pd0.scan_contents(self.contents, self.mode))
+        return pd0.records(pd0.scan_files(self.spark, self.paths, self.mode))
 
     @cached_property
     def records(self) -> DataFrame:
@@ -107,7 +107,8 @@ class Dataset:
 
     @cached_property
     def splits(self) -> DataFrame:
-        return self._keep(splits.split_candidates(self.records, self.regions, self.contents, files.adjacent(self.files)))
+        local = len(pd0.local_sizes(self.spark, self.paths)) == len(set(self.paths))
+        return self._keep(splits.split_candidates(self.records, self.regions, self.contents, files.adjacent(self.files), pd0.cut_pieces if local else None))
 
     @cached_property
     def boundaries(self) -> DataFrame:

@@ -412,13 +412,14 @@ PLAIN_SQL = f"""stamped AS (SELECT event_id, user_id, strftime(ts, '%Y%m%d') AS
     plain AS (SELECT *, body || {HEX.format("total")} AS bytes, strftime(t, '%Y-%m-%dT%H:%M:%S.%g') AS rtc_text FROM sums)"""
 
 
-def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stamped(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
     from .functions import to_millis
     from .functions.encode import clock_bytes
     from .sources.events import at_millis
 
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.date_format("ts", "yyyyMMdd").alias("file"), ((to_millis("ts") / 10).cast("long") * 10).alias("ms"))
-    events = events.repartition(spark.sparkContext.defaultParallelism)  # a small file is one split, but encoding is work
+    # a small file is one split, but encoding is work
+    events = events.orderBy("event_id") if ordered else events.repartition(spark.sparkContext.defaultParallelism)
     return events.select("event_id", "user_id", "file", "ms", ((F.col("event_id") + 65000) % 70000).cast("int").alias("number"), clock_bytes(at_millis(F.col("ms"))).alias("clock"))
 
 

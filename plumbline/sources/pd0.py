@@ -1,13 +1,17 @@
 """Scan of PD0 files: framed binary records, the byte regions between them, and damaged records at a file's edges.
 
 Finding records is sequential within a file: where the search goes on depends on the record found before. That, and
-nothing else, is the kernel here; it runs over Spark's binaryFile source, a task for each file, wherever Spark can read.
+nothing else, is the kernel here. It runs over Spark's binaryFile source, a task for each file, wherever Spark can read.
+A larger file that all machines can open is walked once for the places where its blocks begin; then each block is a task,
+and none of them holds more than a stretch of it. Neighbours with equal headers are tested and told about together.
 All that can be told from a record's own bytes afterwards is left to native expressions.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +31,12 @@ SCAN_SCHEMA = (
     "clock binary, fixed_leader binary, stored_checksum int, calculated_checksum int, checksum_present boolean, digest string, payload binary"
 )
 
+#: Files above so many bytes are scanned in blocks of about so many. A record has at most 65,537 bytes; that many and its
+#: neighbour's header are in reach of every place that a search comes to.
+BLOCK, REACH = 8 << 20, 66_000
+#: Fewer neighbours than these are told about one by one; more are told about in parts of so many bytes.
+FEW, TOLD_BYTES = 8, 4 << 20
+
 
 @dataclass(frozen=True)
 class Frame:
@@ -150,6 +160,100 @@ def walk_lengths(data: bytes) -> Iterator[tuple[int, int, Frame | Fault]]:
 WALKS = {"resync": walk, "strict": walk_strict, "framing": walk_lengths}
 
 
+@dataclass(frozen=True)
+class Run:
+    """Validated records one behind the other with equal headers, the first of them at first.start of `data`."""
+
+    data: bytes
+    first: Frame
+    number: int
+
+
+class Stretch:
+    """The bytes of an open file, of which only some are held."""
+
+    def __init__(self, file, size: int) -> None:
+        self.file, self.size, self.base, self.data = file, size, 0, b""
+
+    def hold(self, at: int) -> None:
+        """Hold what is in reach of `at`."""
+        if at < self.base or min(self.size, at + REACH) > self.base + len(self.data):
+            self.file.seek(at)
+            self.base, self.data = at, self.file.read(max(BLOCK // 2, 2 * REACH))
+
+    def find(self, what: bytes, at: int) -> int:
+        """The first place of two bytes from `at` on, or -1."""
+        while at < self.size:
+            self.hold(at)
+            found = self.data.find(what, at - self.base)
+            if found >= 0:
+                return self.base + found
+            at = max(at + 1, self.base + len(self.data) - 1)  # the two may lie across the end of what is held
+        return -1
+
+
+class Whole(Stretch):
+    """Bytes that are all held."""
+
+    def __init__(self, data: bytes) -> None:
+        self.size, self.base, self.data = len(data), 0, data
+
+    def hold(self, at: int) -> None:
+        pass
+
+
+def _alike(data: bytes, first: Frame, most: int) -> int:
+    """How many records with the header of `first` follow one another from it on, `most` at most; all pass frame_at()."""
+    size, count, head = first.byte_count + 2, first.byte_count, 6 + 2 * len(first.offsets)
+    if most < 2 or data[first.end : first.end + head] != data[first.start : first.start + head]:
+        return 1
+    rows = np.frombuffer(data, dtype=np.uint8, count=most * size, offset=first.start).reshape(most, size)
+    fixed, variable = first.offsets[:2]
+    good, step = 1, 64
+    while good < most:
+        own = rows[good : good + step]
+        sums = own[:, :count].sum(axis=1, dtype=np.uint32) & 0xFFFF
+        stored = own[:, count] | own[:, count + 1].astype(np.uint32) << 8
+        ok = (own[:, :head] == rows[0, :head]).all(axis=1) & (sums == stored)
+        ok &= (own[:, fixed : fixed + 2] == 0).all(axis=1) & (own[:, variable] == 0x80) & (own[:, variable + 1] == 0)
+        if not ok.all():
+            return good + int(ok.argmin())
+        good += len(own)
+        step = min(8 * step, 1 << 15)
+    return most
+
+
+def findings(source: Stretch, mode: str, begin: int = 0, stop: int | None = None) -> Iterator[tuple[int, int, Run | Fault]]:
+    """What walk() or walk_strict() finds from `begin` on, until it has come to `stop`; both are places where a search goes
+    on. Neighbours alike are one finding."""
+    size = source.size
+    stop = size if stop is None else stop
+    at = begin
+    while at < stop:
+        if mode == "resync":
+            hit = source.find(SYNC, at)
+            if hit < 0:
+                yield at, size, Fault(NON_PD0, "no further sync bytes", None)
+                return
+            if hit > at:
+                yield at, hit, Fault(NON_PD0, "bytes between validated candidates", None)
+            at = hit
+        source.hold(at)
+        found = frame_at(source.data, at - source.base)
+        if isinstance(found, Fault):
+            if mode == "strict":
+                yield at, size, found
+                return
+            reach = found.declared if found.classification == TRUNCATED and found.declared is not None else 2
+            yield at, min(size, at + reach), found
+            at += 1
+            continue
+        length = found.byte_count + 2
+        n = _alike(source.data, found, max(1, min((source.base + len(source.data) - at) // length, -((at - stop) // length))))
+        yield at, at + n * length, Run(source.data, found, n)
+        at += n * length
+
+
 def edges(size: int, regions: list[tuple[int, int, Fault]]) -> Iterator[tuple[str, tuple[int, int, Fault]]]:
     """The damaged region that stands for each edge of a file: a truncated record if there is one, else the shortest at
     the beginning, the latest at the end."""
@@ -183,6 +287,26 @@ def _leader(data: bytes, at: int) -> dict:
     return {"number_lsb": struct.unpack_from("<H", data, at + 2)[0], "number_msb": data[at + 11], "clock": data[at + 4 : at + 11]}
 
 
+def _region_row(begin: int, end: int, found: Fault | None) -> dict:
+    if found is None:
+        return {"kind": "region", "start": begin, "end": end, "classification": VALID, "reason": VALID, "is_candidate": True, "declared": end - begin}
+    sought = found.reason not in ("no further sync bytes", "bytes between validated candidates", "not framed")
+    return {"kind": "region", "start": begin, "end": end, "classification": found.classification, "reason": found.reason, "is_candidate": sought, "declared": found.declared}
+
+
+def _record_row(data: bytes, found: Frame, base: int, mode: str, payloads: bool) -> dict:
+    """Of a record in `data`, which begins at `base` of its file."""
+    begin, end, offsets, last = found.start, found.end, found.offsets, found.byte_count
+    row = {
+        "kind": "record", "start": base + begin, "end": base + end, "byte_count": last, "offsets": list(offsets),
+        "ids": [data[begin + o : begin + o + 2].hex() for o in offsets],
+        "fixed_leader": data[begin + offsets[0] : begin + offsets[1]],
+        "stored_checksum": found.stored, "calculated_checksum": found.stored if mode != "framing" else checksum(data[begin : begin + last]),
+        "digest": hashlib.sha256(data[begin:end]).hexdigest(), "payload": data[begin:end] if payloads else None,
+    }
+    return row | _leader(data, begin + offsets[1])
+
+
 def scan_rows(data: bytes, mode: str = "resync", payloads: bool = True) -> Iterator[dict]:
     """Rows of SCAN_SCHEMA, without path and size, of one file."""
     yield {"kind": "file", "start": 0, "end": len(data)}
@@ -190,19 +314,10 @@ def scan_rows(data: bytes, mode: str = "resync", payloads: bool = True) -> Itera
     for begin, end, found in WALKS[mode](data):
         if isinstance(found, Fault):
             damaged.append((begin, end, found))
-            sought = found.reason not in ("no further sync bytes", "bytes between validated candidates", "not framed")
-            yield {"kind": "region", "start": begin, "end": end, "classification": found.classification, "reason": found.reason, "is_candidate": sought, "declared": found.declared}
+            yield _region_row(begin, end, found)
             continue
-        yield {"kind": "region", "start": begin, "end": end, "classification": VALID, "reason": VALID, "is_candidate": True, "declared": end - begin}
-        offsets, last = found.offsets, found.byte_count
-        row = {
-            "kind": "record", "start": begin, "end": end, "byte_count": last, "offsets": list(offsets),
-            "ids": [data[begin + o : begin + o + 2].hex() for o in offsets],
-            "fixed_leader": data[begin + offsets[0] : begin + offsets[1]],
-            "stored_checksum": found.stored, "calculated_checksum": found.stored if mode != "framing" else checksum(data[begin : begin + last]),
-            "digest": hashlib.sha256(data[begin:end]).hexdigest(), "payload": data[begin:end] if payloads else None,
-        }
-        yield row | _leader(data, begin + offsets[1])
+        yield _region_row(begin, end, None)
+        yield _record_row(data, found, 0, mode, payloads)
     for side, region in edges(len(data), damaged) if mode == "resync" else ():
         yield _edge_row(data, side, *region)
 
@@ -213,24 +328,107 @@ def _arrow_schema() -> pa.Schema:
     return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in SCAN_SCHEMA.split(", ")])
 
 
+SCHEMA = _arrow_schema()
+#: Two bytes as four hex digits, by their value as a big-endian number.
+HEX_PAIRS = pa.array([f"{i:04x}" for i in range(1 << 16)])
+
+
+def _fixed_width(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as binary values."""
+    n, width = rows.shape
+    ends = np.arange(0, (n + 1) * width, width, dtype=np.int32) if width else np.zeros(n + 1, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _lists(values: pa.Array, n: int) -> pa.Array:
+    each = len(values) // n
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * each, each, dtype=np.int32)), values)
+
+
+def _batch(n: int, columns: dict) -> pa.RecordBatch:
+    """`columns`: arrays, or values that all rows share; others are null."""
+    made = []
+    for f in SCHEMA:
+        own = columns.get(f.name)
+        made.append(pa.nulls(n, f.type) if own is None else own if isinstance(own, pa.Array) else pa.array(own, f.type) if isinstance(own, np.ndarray) else pa.repeat(pa.scalar(own, f.type), n))
+    return pa.RecordBatch.from_arrays(made, schema=SCHEMA)
+
+
+def _run_batches(fixed: dict, base: int, run: Run, payloads: bool) -> Iterator[pa.RecordBatch]:
+    """The rows of _region_row() and _record_row() of all records of a run whose data begins at `base`."""
+    first, offsets = run.first, run.first.offsets
+    size, last = first.byte_count + 2, first.byte_count
+    part = max(1, TOLD_BYTES // (300 + size))
+    for i in range(0, run.number, part):
+        n = min(part, run.number - i)
+        at = first.start + i * size
+        rows = np.frombuffer(run.data, dtype=np.uint8, count=n * size, offset=at).reshape(n, size)
+        start = base + at + size * np.arange(n, dtype=np.int64)
+        yield _batch(n, fixed | {"kind": "region", "start": start, "end": start + size, "classification": VALID, "reason": VALID, "is_candidate": True, "declared": size})
+        wide = lambda k: rows[:, k].astype(np.int32)
+        stored, leader, own = wide(last) | wide(last + 1) << 8, offsets[1], memoryview(run.data)
+        ids = np.stack([wide(o) << 8 | wide(o + 1) for o in offsets], axis=1).ravel()
+        yield _batch(n, fixed | {
+            "kind": "record", "start": start, "end": start + size, "byte_count": last, "offsets": _lists(pa.array(np.tile(np.array(offsets, dtype=np.int32), n)), n),
+            "ids": _lists(HEX_PAIRS.take(pa.array(ids)), n), "number_lsb": wide(leader + 2) | wide(leader + 3) << 8, "number_msb": wide(leader + 11),
+            "clock": _fixed_width(rows[:, leader + 4 : leader + 11]), "fixed_leader": _fixed_width(rows[:, offsets[0] : offsets[1]]),
+            "stored_checksum": stored, "calculated_checksum": stored, "digest": pa.array([hashlib.sha256(own[a : a + size]).hexdigest() for a in range(at, at + n * size, size)]),
+            "payload": _fixed_width(rows) if payloads else None,
+        })
+
+
+def _scan(source: Stretch, path: str, mode: str, payloads: bool, begin: int = 0, stop: int | None = None, ends: list | None = None) -> Iterator[pa.RecordBatch | dict]:
+    """SCAN_SCHEMA rows from `begin` to `stop`, one by one or in batches. ends: the edges() of the file, which come with its
+    first block; None where all of it is scanned here."""
+    fixed = {"path": path, "size": source.size}
+    if begin == 0:
+        yield {"kind": "file", "start": 0, "end": source.size}
+    damaged = []
+    for a, b, found in findings(source, mode, begin, stop):
+        if isinstance(found, Fault):
+            if ends is None:
+                damaged.append((a, b, found))
+            yield _region_row(a, b, found)
+        elif found.number < FEW:
+            for k in range(found.number):
+                own, size = found.first, found.first.byte_count + 2
+                (stored,) = struct.unpack_from("<H", found.data, own.start + k * size + own.byte_count)
+                yield _region_row(a + k * size, a + (k + 1) * size, None)
+                yield _record_row(found.data, Frame(own.start + k * size, own.byte_count, own.offsets, stored), a - own.start, mode, payloads)
+        else:
+            yield from _run_batches(fixed, a - found.first.start, found, payloads)
+    if mode == "resync" and begin == 0:
+        for side, (a, b, fault) in edges(source.size, damaged) if ends is None else ends:
+            source.hold(a)
+            yield _edge_row(source.data, side, a - source.base, b - source.base, fault) | {"start": a, "end": b}
+
+
+def _batches(found: Iterator[pa.RecordBatch | dict], path: str, size: int, payloads: bool) -> Iterator[pa.RecordBatch]:
+    """Single rows put together; output goes out every few MB."""
+    fixed, held, weight = {"path": path, "size": size}, [], 0
+    for row in found:
+        if isinstance(row, pa.RecordBatch):
+            yield row
+            continue
+        held.append(fixed | row)
+        weight += 300 + (2 * (row["end"] - row["start"]) if payloads else 0)
+        if weight > 8_000_000:
+            yield pa.RecordBatch.from_pylist(held, schema=SCHEMA)
+            held, weight = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=SCHEMA)
+
+
 def scan_contents(files: DataFrame, mode: str = "resync", payloads: bool = True) -> DataFrame:
     """SCAN_SCHEMA rows of `files` (path, content). mode: resync finds records between damage, strict stops at the first
     fault, framing trusts declared lengths. Null content counts as empty. Output goes out every few MB."""
-    schema = _arrow_schema()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                data = content.as_py() or b""
-                fixed, held, size = {"path": path.as_py(), "size": len(data)}, [], 0
-                for row in scan_rows(data, mode, payloads):
-                    held.append(fixed | row)
-                    size += 300 + (2 * (row["end"] - row["start"]) if payloads else 0)
-                    if size > 8_000_000:
-                        yield pa.RecordBatch.from_pylist(held, schema=schema)
-                        held, size = [], 0
-                if held:
-                    yield pa.RecordBatch.from_pylist(held, schema=schema)
+                data, name = content.as_py() or b"", path.as_py()
+                found = scan_rows(data, mode, payloads) if mode == "framing" else _scan(Whole(data), name, mode, payloads)
+                yield from _batches(found, name, len(data), payloads)
 
     return files.select("path", "content").mapInArrow(run, SCAN_SCHEMA)
 
@@ -240,8 +438,89 @@ def file_contents(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "content")
 
 
+def opened(path: str) -> str:
+    """The name by which Python opens a file of Spark's local file system."""
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else os.path.abspath(path)
+
+
+def local_sizes(spark: SparkSession, paths: list[str]) -> dict[str, int]:
+    """The sizes of those of `paths` that are files of Spark's local file system, which Python can open, too."""
+    plain = spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:")
+    local = [p for p in paths if p.startswith("file:") or plain and "://" not in p]
+    return {p: os.path.getsize(at) for p, at in zip(local, map(opened, local), strict=True) if os.path.isfile(at)}
+
+
+def _blocks(path: str, mode: str) -> Iterator[dict]:
+    """The blocks of a file (begin, stop), each from where a search goes on to where another does, and its edges."""
+    with open(opened(path), "rb") as f:
+        size = os.fstat(f.fileno()).st_size
+        cuts, at_edges, at = [0], [], 0
+        for a, b, found in findings(Stretch(f, size), mode):
+            if at - cuts[-1] >= BLOCK:
+                cuts.append(at)
+            if isinstance(found, Run):
+                at = b
+                continue
+            if found.reason != "bytes between validated candidates":  # a search does not go on there, but at the candidate
+                at = a + 1
+            if a == 0 or b == size:
+                at_edges.append((a, b, found))
+    ends = json.dumps([(side, a, b, fault.classification, fault.reason, fault.declared) for side, (a, b, fault) in edges(size, at_edges)])
+    for a, b in zip(cuts, [*cuts[1:], size], strict=True):
+        yield {"path": path, "begin": a, "stop": b, "ends": ends}
+
+
+def scan_blocks(spark: SparkSession, paths: list[str], mode: str = "resync", payloads: bool = True) -> DataFrame:
+    """scan_contents() of files that Python can open on all machines (paths as file:/...), a task for each block. The driver
+    holds a row for each block."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_pylist(list(_blocks(paths[i], mode)))
+
+    n = len(paths)
+    found = spark.range(0, n, 1, n).mapInArrow(find, "path string, begin long, stop long, ends string").collect()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                path, begin, stop, ends = blocks[i]
+                with open(opened(path), "rb") as f:
+                    source = Stretch(f, os.fstat(f.fileno()).st_size)
+                    at_edges = [(side, (a, b, Fault(*fault))) for side, a, b, *fault in json.loads(ends)]
+                    yield from _batches(_scan(source, path, mode, payloads, begin, stop, at_edges), path, source.size, payloads)
+
+    blocks = [tuple(r) for r in found]
+    n = len(blocks)
+    # of an RDD the optimiser does not suppose that it is small: a range's few bytes would have the records broadcast
+    each = spark.createDataFrame(spark.sparkContext.parallelize([(i,) for i in range(n)], n), "id long")
+    return each.mapInArrow(run, SCAN_SCHEMA)
+
+
 def scan_files(spark: SparkSession, paths: list[str], mode: str = "resync", payloads: bool = True) -> DataFrame:
-    return scan_contents(file_contents(spark, paths), mode, payloads)
+    """scan_contents() of files, the large ones among them in blocks where all machines can open them."""
+    large = {p for p, size in local_sizes(spark, paths).items() if size > BLOCK and mode != "framing"}
+    small = [p for p in paths if p not in large]
+    found = [scan_contents(file_contents(spark, small), mode, payloads)] if small or not large else []
+    if large:
+        found.append(scan_blocks(spark, [f"file:{opened(p)}" for p in paths if p in large], mode, payloads))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def cut_pieces(cuts: DataFrame) -> DataFrame:
+    """(key, part, piece) of `cuts` (key, part, path, begin, n), read from files that Python can open on all machines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces = []
+            for path, begin, n in zip(*[batch.column(k).to_pylist() for k in (2, 3, 4)], strict=True):
+                with open(opened(path), "rb") as f:
+                    f.seek(begin)
+                    pieces.append(f.read(n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pieces, pa.binary())], names=["key", "part", "piece"])
+
+    return cuts.select("key", "part", "path", "begin", "n").mapInArrow(run, "key string, part string, piece binary")
 
 
 def _name() -> F.Column:
