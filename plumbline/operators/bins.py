@@ -132,12 +132,18 @@ def trim_cells(records: DataFrame, plan: TrimPlan) -> DataFrame:
 
 
 def trim_faults(source: DataFrame, output: DataFrame, plan: TrimPlan) -> DataFrame:
-    """(physical_index, fault) of records whose trimmed form isn't what it must be; block by block, positions joined.
-    Both sides: blocks() with physical_index and payload."""
-    side = lambda df, p: blocks(df).select("physical_index", F.posexplode("blocks").alias("place", "block"), "payload").select("physical_index", "place", F.col("block.id").alias(f"{p}id"), F.expr("substring(payload, block.offset + 1, block.length)").alias(f"{p}bytes"))
-    both = side(source, "s").join(side(output, "o"), ["physical_index", "place"], "full")
-    kept = F.create_map(*[F.lit(x) for k in range(len(plan.ids)) for x in (k, plan.kept_length(k))])[F.col("place")]
-    want = F.when(F.col("sid") == FIXED_LEADER, F.expr(f"overlay(sbytes PLACING unhex('{plan.cells_left:02x}') FROM 10 FOR 1)")).otherwise(F.expr("sbytes"))
-    want = F.substring(want, F.lit(1), kept)
-    wrong = ~F.col("sid").eqNullSafe(F.col("oid")) | ~want.eqNullSafe(F.col("obytes"))
-    return both.where(wrong).select("physical_index", F.concat(F.lit("block "), F.coalesce("sid", "oid"), F.lit(" changed")).alias("fault"))
+    """(physical_index, fault) of records whose trimmed form isn't what it must be, block by block.
+    Both sides: blocks() with physical_index and payload. Only records with a fault are taken apart into rows."""
+    side = lambda df, p: blocks(df).select("physical_index", F.transform("blocks", lambda b: F.struct(b["id"].alias("id"), F.substring(F.col("payload"), b["offset"] + 1, b["length"]).alias("bytes"))).alias(p))
+    kept = F.create_map(*[F.lit(x) for k in range(len(plan.ids)) for x in (k, plan.kept_length(k))])
+
+    def wanted(b: F.Column, k: F.Column) -> F.Column:
+        own = F.when(b["id"] == FIXED_LEADER, F.concat(F.substring(b["bytes"], F.lit(1), F.lit(9)), F.lit(bytes([plan.cells_left])), F.substring(b["bytes"], F.lit(11), F.length(b["bytes"])))).otherwise(b["bytes"])
+        return F.struct(b["id"].alias("id"), F.substring(own, F.lit(1), kept[k]).alias("bytes"))
+
+    want = side(source, "s").withColumn("s", F.transform("s", wanted))
+    both = want.join(side(output, "o"), "physical_index", "full").where(~F.col("s").eqNullSafe(F.col("o")))
+    none = F.array().cast("array<struct<id: string, bytes: binary>>")
+    each = both.select("physical_index", F.explode(F.arrays_zip(F.coalesce("s", none).alias("s"), F.coalesce("o", none).alias("o"))).alias("b"))
+    wrong = ~F.col("b.s").eqNullSafe(F.col("b.o"))
+    return each.where(wrong).select("physical_index", F.concat(F.lit("block "), F.coalesce("b.s.id", "b.o.id"), F.lit(" changed")).alias("fault"))
