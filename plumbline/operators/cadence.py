@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import common_value, to_millis
 
+#: Bytes of a file whose records one task puts in order.
+STRETCH = 16 << 20
+
 
 def steps(records: DataFrame) -> DataFrame:
-    """(file, delta): positive milliseconds from a record to the next of its file, where both have a clock."""
-    own = Window.partitionBy("file").orderBy("start")
-    ms = to_millis("rtc")
-    return records.select("file", (ms - F.lag(ms).over(own)).alias("delta")).where("delta > 0")
+    """(file, delta): positive milliseconds from a record to the next of its file, where both have a clock. A file's
+    stretches of bytes are windows of their own; the first record of one is joined to the last of the one before."""
+    rows = records.select("file", "start", F.floor(F.col("start") / STRETCH).alias("stretch"), to_millis("rtc").alias("ms"))
+    ends = rows.groupBy("file", "stretch").agg(F.max_by("ms", "start").alias("end"))
+    before = ends.select("file", "stretch", F.lag("end").over(Window.partitionBy("file").orderBy("stretch")).alias("end"))
+    last = F.lag(F.struct("ms")).over(Window.partitionBy("file", "stretch").orderBy("start"))
+    joined = rows.withColumn("last", last).join(before, ["file", "stretch"])
+    earlier = F.when(F.col("last").isNull(), F.col("end")).otherwise(F.col("last.ms"))
+    return joined.select("file", (F.col("ms") - earlier).alias("delta")).where("delta > 0")
 
 
 def median_steps(records: DataFrame) -> DataFrame:

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import to_millis
 from ..vocabulary import FAIL, NATIVE_CONFLICT, PASS, PASS_WITH_FRAGMENTS, PASS_WITH_GAPS, REBUILT_CONFLICT, REVIEW
+from .cadence import STRETCH
 from .ordered import global_lag, global_running_total
 
-#: Bytes of a file whose records one task puts in order.
-STRETCH = 16 << 20
-
 
 def order_columns() -> list[Column]:
     """The order of recovered records: by clock, records without one last."""

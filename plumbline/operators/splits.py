@@ -14,7 +14,7 @@ from ..vocabulary import REJECTED_SPLIT, SAFE_SPLIT, SPLIT_LATE, SPLIT_OTHER_LEA
 from .boundaries import last_complete_before
 
 
-def split_candidates(records: DataFrame, regions: DataFrame, contents: DataFrame, pairs: DataFrame, pieces: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def split_candidates(records: DataFrame, regions: DataFrame, contents: DataFrame | None, pairs: DataFrame, pieces: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row for each truncated record that reaches the end of an earlier file, where the next file begins with bytes
     that no record holds: whether both parts make a record, and why not. bytes_data holds a safe one.
 

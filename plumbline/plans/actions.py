@@ -66,7 +66,7 @@ def recover(spark: SparkSession, paths: list[str], output_dir: str) -> Recovery:
     reports.write_csv(reports.inventory(data.files, data.fragments), folder / "source_inventory.csv")
     reports.write_csv(reports.boundary_rows(data.boundaries), folder / "boundary_analysis.csv")
     reports.write_csv(recovery.gap_seconds(data.gaps), folder / "recovered_gaps.csv")
-    reports.write_csv(reports.ensemble_map(data.accepted), folder / "recovered_ensemble_map.csv")
+    reports.write_csv(reports.ensemble_map(data.provenance), folder / "recovered_ensemble_map.csv")
     reports.write_lines(folder / "recovery_report.md", reports.recovery_lines(data, verdict, accepted, removed, conflicts, validation, output))
     reports.write_lines(folder / "recovered_validation.md", reports.validation_lines(verdict, validation))
     reports.write_manifest(folder / "recovery_manifest.json", data, verdict, removed, conflicts, validation, output)

@@ -35,7 +35,8 @@ def find_groups(spark: SparkSession, inputs: list[str], recursive: bool = False,
     if not folders:
         return groups
     reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.000").option("recursiveFileLookup", str(recursive).lower())
-    listed = reader.load(folders).select(F.regexp_replace("path", "^file:/*", "/").alias("path"))
+    # names alone are read here, which need no task for every few files
+    listed = reader.load(folders).coalesce(spark.sparkContext.defaultParallelism).select(F.regexp_replace("path", "^file:/*", "/").alias("path"))
     found = files.discovered(listed, folders, recursive, str(Path(output_dir).resolve()) if output_dir else None)
     for row in files.candidate_groups(found, "directory_recursive_parent" if recursive else "directory_non_recursive").orderBy("group_id").collect():
         groups.append(Group(len(groups) + 1, list(row.files), row.basis))
@@ -108,7 +109,8 @@ class Dataset:
     @cached_property
     def splits(self) -> DataFrame:
         local = len(pd0.local_sizes(self.spark, self.paths)) == len(set(self.paths))
-        return self._keep(splits.split_candidates(self.records, self.regions, self.contents, files.adjacent(self.files), pd0.cut_pieces if local else None))
+        contents = None if local else self.contents  # to name all files to Spark's reader costs a task for each
+        return self._keep(splits.split_candidates(self.records, self.regions, contents, files.adjacent(self.files), pd0.cut_pieces if local else None))
 
     @cached_property
     def boundaries(self) -> DataFrame:
@@ -121,11 +123,15 @@ class Dataset:
 
     @cached_property
     def conflicts(self) -> DataFrame:
-        return recovery.conflicts(self.accepted)
+        return self._keep(recovery.conflicts(self.accepted))
 
     @cached_property
     def gaps(self) -> DataFrame:
-        return recovery.gaps(self.accepted, F.lit(self.nominal_ms).cast("long"))
+        return self._keep(recovery.gaps(self.accepted, F.lit(self.nominal_ms).cast("long")))
+
+    @cached_property
+    def provenance(self) -> DataFrame:
+        return self._keep(recovery.provenance(self.accepted))
 
     @cached_property
     def payloads(self) -> DataFrame:
@@ -156,11 +162,11 @@ class Validation:
 
     @cached_property
     def duplicates(self) -> DataFrame:
-        return recovery.duplicate_digests(self.data.records).select("digest")
+        return self.data._keep(recovery.duplicate_digests(self.data.records).select("digest"))
 
     @cached_property
     def gaps(self) -> DataFrame:
-        return recovery.gaps(self.data.records, F.lit(self.nominal_ms).cast("long"))
+        return self.data._keep(recovery.gaps(self.data.records, F.lit(self.nominal_ms).cast("long")))
 
     def close(self) -> None:
         self.data.close()

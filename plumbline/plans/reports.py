@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
+import shutil
 from collections.abc import Iterable, Iterator, Mapping
+from dataclasses import dataclass
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import recovery
+from ..sources.sink import write_bytes
 from .dataset import Dataset, Group, Validation
 
 # Columns of the files that are written.
@@ -49,8 +54,8 @@ def boundary_rows(boundaries: DataFrame) -> DataFrame:
     return boundaries.orderBy("boundary").select(*[F.array_join(c, {"facts": ";", "notes": " | "}[c]).alias(c) if c in ("facts", "notes") else c for c in BOUNDARY])
 
 
-def ensemble_map(accepted: DataFrame) -> DataFrame:
-    rows = recovery.provenance(accepted).orderBy("output_byte_offset")
+def ensemble_map(provenance: DataFrame) -> DataFrame:
+    rows = provenance.orderBy("output_byte_offset")
     return rows.select(
         "output_byte_offset", F.col("file_name").alias("source_file"), F.col("start").alias("source_offset"), "source_length", "continuation_file",
         F.when(F.col("reconstructed"), 0).alias("continuation_offset"), "continuation_length", "reconstructed", F.col("digest").alias("ensemble_sha256"),
@@ -59,11 +64,20 @@ def ensemble_map(accepted: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: Path) -> None:
-    """One file, in the order of the rows, a partition at a time through the driver."""
-    with path.open("w", newline="", encoding="utf-8") as f:
-        out = csv.writer(f)
-        out.writerow(rows.columns)
-        out.writerows(rows.toLocalIterator())
+    """One file, in the order of the rows; executors write its parts."""
+
+    def text(values: Iterable[Iterable]) -> str:
+        out = io.StringIO(newline="")
+        csv.writer(out).writerows(values)
+        return out.getvalue()
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = text(zip(*[c.to_pylist() for c in batch.columns], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([told.encode()], pa.binary())], names=["payload"])
+
+    path.unlink(missing_ok=True)
+    write_bytes(rows.mapInArrow(lines, "payload binary"), str(path), text([rows.columns]))
 
 
 def as_json(rows: DataFrame) -> Column:
@@ -100,13 +114,27 @@ def _rows(rows: DataFrame) -> Iterator[str]:
     return (r[0] for r in rows.select(as_json(rows)).toLocalIterator())
 
 
+@dataclass
+class Elements:
+    """A file with the elements of a JSON list, each behind a comma and a new line."""
+
+    path: Path
+
+
+def _elements(rows: DataFrame, path: Path) -> Elements:
+    """JSON of each row, in the order of the rows; executors write it."""
+    path.unlink(missing_ok=True)
+    write_bytes(rows.select(F.concat(F.lit(",\n"), as_json(rows)).cast("binary").alias("payload")), str(path))
+    return Elements(path)
+
+
 def _texts(rows: DataFrame) -> Iterator[str]:
     return (json.dumps(r[0]) for r in rows.toLocalIterator())
 
 
 def write_json(path: Path, value: Mapping) -> None:
-    """A JSON object whose values are plain, mappings of such, or iterators of JSON texts, which become lists; nothing is
-    gathered."""
+    """A JSON object whose values are plain, mappings of such, or iterators of JSON texts or Elements, which become lists;
+    nothing is gathered."""
     with path.open("w", encoding="utf-8") as f:
 
         def put(own: object) -> None:
@@ -115,6 +143,13 @@ def write_json(path: Path, value: Mapping) -> None:
                     f.write(("{" if not i else ",") + f"\n{json.dumps(key)}: ")
                     put(one)
                 f.write("\n}" if own else "{}")
+            elif isinstance(own, Elements):
+                f.write("[")
+                f.flush()
+                with own.path.open("rb") as elements:
+                    elements.read(1)  # no comma before the first
+                    shutil.copyfileobj(elements, f.buffer, 1 << 20)
+                f.write("]")
             elif isinstance(own, Iterator):
                 f.write("[")
                 for i, text in enumerate(own):
@@ -133,6 +168,7 @@ def write_manifest(path: Path, data: Dataset, verdict: str, removed: int, confli
         "valid_count": validation.records, "issues": validation.issues, "duplicate_hashes": _texts(validation.duplicates), "nominal_interval_ms": validation.nominal_ms,
         "gaps": _rows(with_seconds(validation.gaps)),
     }
+    accepted = _elements(ensemble_map(data.provenance).drop("output_byte_offset"), path.with_name(f"{path.name}.accepted"))
     write_json(path, {
         "verdict": verdict,
         "discovered_files": data.paths,
@@ -144,11 +180,12 @@ def write_manifest(path: Path, data: Dataset, verdict: str, removed: int, confli
         "split_candidates": _rows(data.splits.orderBy("boundary", "previous_offset").select(*SPLIT)),
         "duplicate_removed": removed,
         "conflicts": _texts(conflicts),
-        "accepted_records": _rows(ensemble_map(data.accepted).drop("output_byte_offset")),
+        "accepted_records": accepted,
         "gaps": _rows(with_seconds(data.gaps)),
         "validation": checked,
         "recovered_path": None if output is None else str(output),
     })
+    accepted.path.unlink()
 
 
 def _seconds(ms: int | None) -> str:

@@ -2,8 +2,8 @@
 
 Finding records is sequential within a file: where the search goes on depends on the record found before. That, and
 nothing else, is the kernel here. It runs over Spark's binaryFile source, a task for each file, wherever Spark can read.
-A larger file that all machines can open is walked once for the places where its blocks begin; then each block is a task,
-and none of them holds more than a stretch of it. Neighbours with equal headers are tested and told about together.
+Of files that all machines can open, small ones share a task, and a larger one is walked once for the places where its
+blocks begin; then each block is a task, and none of them holds more than a stretch of it. Neighbours with equal headers are tested and told about together.
 All that can be told from a record's own bytes afterwards is left to native expressions.
 """
 
@@ -34,6 +34,8 @@ SCAN_SCHEMA = (
 #: Files above so many bytes are scanned in blocks of about so many. A record has at most 65,537 bytes; that many and its
 #: neighbour's header are in reach of every place that a search comes to.
 BLOCK, REACH = 8 << 20, 66_000
+#: What opening a file counts for, in bytes, where small files are put together.
+OPENING = 16 << 10
 #: Fewer neighbours than these are told about one by one; more are told about in parts of so many bytes.
 FEW, TOLD_BYTES = 8, 4 << 20
 
@@ -470,9 +472,25 @@ def _blocks(path: str, mode: str) -> Iterator[dict]:
         yield {"path": path, "begin": a, "stop": b, "ends": ends}
 
 
-def scan_blocks(spark: SparkSession, paths: list[str], mode: str = "resync", payloads: bool = True) -> DataFrame:
-    """scan_contents() of files that Python can open on all machines (paths as file:/...), a task for each block. The driver
-    holds a row for each block."""
+def together(sizes: list[tuple[str, int]], most: int) -> list[list[str]]:
+    """Small files (path, bytes) in lists of about `most` bytes."""
+    out, weight = [], most
+    for path, size in sizes:
+        if weight + size + OPENING > most:
+            out.append([])
+            weight = 0
+        out[-1].append(path)
+        weight += size + OPENING
+    return out
+
+
+def scan_local(spark: SparkSession, sizes: list[tuple[str, int]], mode: str = "resync", payloads: bool = True) -> DataFrame:
+    """scan_contents() of files (path as file:/..., bytes) that Python can open on all machines: a task for each block of a
+    large one, small ones together. The driver holds a row for each block or small file."""
+    paths = [p for p, size in sizes if size > BLOCK]
+    small = [x for x in sizes if x[1] <= BLOCK]
+    share = sum(size + OPENING for _, size in small) // (2 * spark.sparkContext.defaultParallelism)
+    units = [[(p, 0, None, None) for p in some] for some in together(small, max(1 << 18, min(BLOCK, share)))]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -480,31 +498,32 @@ def scan_blocks(spark: SparkSession, paths: list[str], mode: str = "resync", pay
                 yield pa.RecordBatch.from_pylist(list(_blocks(paths[i], mode)))
 
     n = len(paths)
-    found = spark.range(0, n, 1, n).mapInArrow(find, "path string, begin long, stop long, ends string").collect()
+    found = spark.range(0, n, 1, n).mapInArrow(find, "path string, begin long, stop long, ends string").collect() if n else []
+    units += [[tuple(r)] for r in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in batch.column(0).to_pylist():
-                path, begin, stop, ends = blocks[i]
-                with open(opened(path), "rb") as f:
-                    source = Stretch(f, os.fstat(f.fileno()).st_size)
-                    at_edges = [(side, (a, b, Fault(*fault))) for side, a, b, *fault in json.loads(ends)]
-                    yield from _batches(_scan(source, path, mode, payloads, begin, stop, at_edges), path, source.size, payloads)
+            for unit in batch.column(0).to_pylist():
+                for path, begin, stop, ends in json.loads(unit):
+                    with open(opened(path), "rb") as f:
+                        source = Stretch(f, os.fstat(f.fileno()).st_size)
+                        at_edges = ends and [(side, (a, b, Fault(*fault))) for side, a, b, *fault in json.loads(ends)]
+                        yield from _batches(_scan(source, path, mode, payloads, begin, stop, at_edges), path, source.size, payloads)
 
-    blocks = [tuple(r) for r in found]
-    n = len(blocks)
     # of an RDD the optimiser does not suppose that it is small: a range's few bytes would have the records broadcast
-    each = spark.createDataFrame(spark.sparkContext.parallelize([(i,) for i in range(n)], n), "id long")
+    each = spark.createDataFrame(spark.sparkContext.parallelize([(json.dumps(u),) for u in units], len(units)), "unit string")
     return each.mapInArrow(run, SCAN_SCHEMA)
 
 
 def scan_files(spark: SparkSession, paths: list[str], mode: str = "resync", payloads: bool = True) -> DataFrame:
-    """scan_contents() of files, the large ones among them in blocks where all machines can open them."""
-    large = {p for p, size in local_sizes(spark, paths).items() if size > BLOCK and mode != "framing"}
-    small = [p for p in paths if p not in large]
-    found = [scan_contents(file_contents(spark, small), mode, payloads)] if small or not large else []
-    if large:
-        found.append(scan_blocks(spark, [f"file:{opened(p)}" for p in paths if p in large], mode, payloads))
+    """scan_contents() of files; where all machines can open them, large ones in blocks and small ones together."""
+    sizes = local_sizes(spark, paths) if mode != "framing" else {}
+    # Spark does not list small files whose names begin so
+    own = {p: n for p, n in sizes.items() if n > BLOCK or not os.path.basename(opened(p)).startswith((".", "_"))}
+    others = [p for p in paths if p not in own]
+    found = [scan_contents(file_contents(spark, others), mode, payloads)] if others or not own else []
+    if own:
+        found.append(scan_local(spark, [(f"file:{opened(p)}", own[p]) for p in paths if p in own], mode, payloads))
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 

@@ -41,3 +41,28 @@ def test_blocks_find_what_one_scan_finds(tmp_path, monkeypatch, mode):
         assert blocks > 3 or mode == "strict"
         whole = [r for b in pd0._batches(pd0._scan(pd0.Whole(data), "x", mode, True), "x", len(data), True) for r in b.to_pylist()]
         assert plain(whole) == want
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    whole = {}
+    for k in range(120):
+        data = b"".join(record(100 * k + i, at(i % 50), bytes(6)) for i in range(k % 12)) + (b"", b"noise", b"\x7f\x7f\x30")[k % 3]
+        (tmp_path / f"{k}.000").write_bytes(data)
+        whole[f"file:{tmp_path}/{k}.000"] = data
+    (tmp_path / "_no.000").write_bytes(b"not listed")
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n in names:
+            spark.conf.set(n, "4m")
+        found = pd0.scan_files(spark, sorted(whole))
+        assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism + 1
+        got = [r.asDict() for r in found.collect()]
+        assert {r["path"] for r in got} == set(whole)
+        for path, data in whole.items():
+            assert plain([r for r in got if r["path"] == path]) == plain(pd0.scan_rows(data)), path
+        hidden = pd0.scan_files(spark, [str(tmp_path / "_no.000"), str(tmp_path / "3.000")])
+        assert {r.path for r in hidden.select("path").distinct().collect()} == {f"file:{tmp_path}/3.000"}
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from plumbline.functions import common_value, full_year, in_order, primary_status
 from plumbline.operators import cadence, recovery
 from plumbline.operators.ordered import _parts, global_lag, global_running_total
-from plumbline.plans.reports import write_json
+from plumbline.plans.reports import _elements, write_csv, write_json
 from pyspark.sql import functions as F
 
 SLOW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -85,3 +85,29 @@ def test_provenance_problems(spark):
     mapped = spark.createDataFrame([(0, 3, "a"), (3, 2, "b")], "output_byte_offset long, total_bytes long, digest string")
     output = spark.createDataFrame([(0, 3, "a"), (3, 2, "x")], "start long, total_bytes long, digest string")
     assert sorted((r.place, r.digest, r.problem) for r in recovery.verify_provenance(mapped, output).collect()) == [(3, "b", "missing in output"), (3, "x", "not in map")]
+
+
+def test_steps_cross_stretches(spark, monkeypatch):
+    monkeypatch.setattr(cadence, "STRETCH", 100)
+    ms = [0, 10, 30, None, 70, 75, 75, 60, 200]
+    rows = [(f, 40 * i if f == "a" else 700 * i, ms[i]) for f in "ab" for i in range(len(ms))]
+    made = spark.createDataFrame(rows, "file string, start long, ms long").select("file", "start", F.expr("timestamp_ntz '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, ms / 1000.0)").alias("rtc"))
+    found = sorted((r.file, r.delta) for r in cadence.steps(made).collect())
+    assert found == [(f, d) for f in "ab" for d in (5, 10, 20, 140)]
+
+
+def test_large_reports_are_written_on_executors(spark, tmp_path, monkeypatch):
+    import csv
+    import io
+
+    values = [(i, None if i % 3 else f'a,"{i}"\n\u00e9', i % 2 == 0) for i in range(5_000)]
+    rows = spark.createDataFrame(values, "n long, t string, b boolean").repartition(5).orderBy("n")
+    monkeypatch.setattr(type(rows), "toLocalIterator", None)
+    want = io.StringIO(newline="")
+    csv.writer(want).writerows([["n", "t", "b"], *values])
+    for some, text in ((rows, want.getvalue()), (rows.limit(0), "n,t,b\r\n")):
+        write_csv(some, tmp_path / "a.csv")
+        assert (tmp_path / "a.csv").read_bytes() == text.encode()
+        write_json(tmp_path / "a.json", {"rows": _elements(some, tmp_path / "e"), "n": 1})
+        told = json.loads((tmp_path / "a.json").read_text(encoding="utf-8"))
+        assert told == {"rows": [dict(zip("ntb", v, strict=True)) for v in (values if some is rows else [])], "n": 1}
