@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 
-#: The memo is emptied beyond this many chunks, which bounds a worker's memory (about 250 bytes for each).
+#: The memo forgets chunks beyond this many, which bounds a worker's memory (about 250 bytes for each).
 MEMO_ENTRIES = 600_000
 #: Longer chunks are forgotten after the call.
 MEMO_CHARS = 64
@@ -28,18 +28,6 @@ OTHER = frozenset(c for c in map(chr, range(0x3001)) if c.isspace() and c not in
 LONE = OTHER | {"", "\n"}
 
 
-class Memo(dict):
-    """Ids of chunks; a chunk that is asked for in vain is noted. None stands for a chunk that has no ids of its own."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.missing: set[str] = set()
-
-    def __missing__(self, chunk: str) -> bytes:
-        self.missing.add(chunk)
-        return b""
-
-
 class ChunkEncoder:
     """Encode texts with the tokenizer file at `path`; `end_id` is appended to every text.
 
@@ -54,7 +42,9 @@ class ChunkEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = np.uint32(end_id).astype("<u4").tobytes()
         self.spaces_matter, self.memo_entries = spaces_matter, memo_entries
-        self.memo = Memo()
+        # ids of chunks, None for one that has none of its own: those used of late, and those used before them
+        self.memo: dict[str, bytes | None] = {}
+        self.earlier: dict[str, bytes | None] = {}
         self.tails: dict[str, bytes] = {}
         pieces = self.tokenizer.get_vocab(with_added_tokens=True)
         self.edge = np.zeros(max(pieces.values()) + 1, dtype=bool)
@@ -89,16 +79,16 @@ class ChunkEncoder:
         sides have ids of their own."""
         lead = " " if self.spaces_matter else ""
         memo, tails, rest, ends = self.memo, self.tails, [], set()
-        words = {c for c in missing if c.isalpha()}
-        missing = missing - words
-        if self.spaces_matter:
-            odd = {c for c in missing if c[-1:] in LONE or c[c[0] == "\n"] in OTHER}
-            memo.update(dict.fromkeys(odd))
-            missing -= odd
-        cut = []
+        cut, words, spaces = [], set(), self.spaces_matter
         for chunk in missing:
+            if chunk.isalpha():
+                words.add(chunk)
+                continue
             head, tail = chunk[:-1], chunk[-1:]
             if not (tail in ",." and head.isascii() and head.isalpha()):
+                if spaces and (tail in LONE or chunk[chunk[0] == "\n"] in OTHER):
+                    memo[chunk] = None
+                    continue
                 head, tail = HEAD.match(chunk).groups()
                 if not (tail[:1].isascii() and head.isalpha()) or self._turns(head):
                     rest.append(chunk)
@@ -114,14 +104,15 @@ class ChunkEncoder:
         asked = [c if c[:1] == "\n" else lead + c for c in rest]
         memo.update(zip(rest, self._library(asked), strict=True))
 
-    def _forget(self) -> None:
-        """Short chunks are the frequent ones; keep them if they are few enough."""
-        short = {k: v for k, v in self.memo.items() if len(k) <= 8}
-        self.memo.missing.clear()
-        self.memo.clear()
-        self.tails.clear()
-        if 2 * len(short) < self.memo_entries:
-            self.memo.update(short)
+    def _recall(self, chunks: set[str]) -> None:
+        """Have all of `chunks` in the memo. A half of it that no call has used since it was filled is forgotten."""
+        if 2 * len(self.memo) > self.memo_entries:
+            self.earlier, self.memo = self.memo, {}
+            self.tails.clear()
+        asked = chunks.difference(self.memo)
+        again = [c for c in asked if c in self.earlier]
+        self.memo.update(zip(again, map(self.earlier.__getitem__, again), strict=True))
+        self._learn(asked.difference(again))
 
     def _split(self, text: str | None) -> list[str] | None:
         """The chunks of a text, with the first chunk of a byte-level vocabulary, which has no space before it, apart;
@@ -134,29 +125,18 @@ class ChunkEncoder:
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id; a null text is empty."""
-        if len(self.memo) > self.memo_entries:
-            self._forget()
-        memo, tail, asked = self.memo, int(self.spaces_matter), set()
-        get, join = memo.__getitem__, b"".join
+        tail, join = int(self.spaces_matter), b"".join
         out: list[bytes | None] = [None] * len(texts)
         split = [self._split(text) for text in texts]
-        again: list[int] = []
-        for i, chunks in enumerate(split):
-            if chunks is not None:
-                try:
-                    out[i] = join(map(get, chunks[tail:]))
-                except TypeError:  # a chunk without ids of its own
-                    split[i] = None
-                if memo.missing:
-                    asked |= memo.missing
-                    memo.missing.clear()
-                    again.append(i)
-        self._learn(asked)
-        for i in again:
+        own = {i: chunks[tail:] for i, chunks in enumerate(split) if chunks is not None}
+        asked = set().union(*own.values())
+        self._recall(asked)
+        get = self.memo.__getitem__
+        for i, chunks in own.items():
             try:
-                out[i] = join(map(get, split[i][tail:])) if split[i] is not None else None
-            except TypeError:
-                split[i] = out[i] = None
+                out[i] = join(map(get, chunks))
+            except TypeError:  # a chunk without ids of its own
+                split[i] = None
         whole = [i for i, chunks in enumerate(split) if chunks is None]
         for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
             out[i] = ids
@@ -165,7 +145,7 @@ class ChunkEncoder:
             for i, ids in zip(some, self._library([split[i][0] for i in some]), strict=True):
                 out[i] = ids + out[i]
         for chunk in [c for c in asked if len(c) > MEMO_CHARS]:
-            memo.pop(chunk, None)
+            self.memo.pop(chunk, None)
         return [ids + self.end for ids in out]
 
 

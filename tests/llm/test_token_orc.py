@@ -67,3 +67,16 @@ def test_odd_rows(spark, tmp_path, rows):
     assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
     assert sorted(r.n_tokens for r in got) == sorted(p[2] for p in plain([r[:2] for r in rows]))
     assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).astype(int).tolist()[: len(got)]
+
+
+def test_memo_is_bounded_and_keeps_what_is_used():
+    from plumbline.llm.tokens import ChunkEncoder
+
+    enc, library, learned = ChunkEncoder(PATH, 2, True, 400), Tokenizer.from_file(PATH), []
+    learn = enc._learn
+    enc._learn = lambda chunks: (learned.extend(chunks), learn(chunks))
+    for k in range(60):
+        text = " often, " + " ".join("abcdefghij"[i % 10] * (1 + i // 10 % 3) + f"x{k}y{i}" for i in range(50))
+        assert enc.encode([text]) == [np.array([*library.encode(text, add_special_tokens=False).ids, 2], dtype="<u4").tobytes()]
+        assert len(enc.memo) + len(enc.earlier) <= 400 + 4 * 50
+    assert learned.count("often,") == 1
