@@ -131,7 +131,8 @@ class Dataset:
 
     @cached_property
     def provenance(self) -> DataFrame:
-        return self._keep(recovery.provenance(self.accepted))
+        """Not kept in memory: its rows lie in a table of the shared folder, in order, and are as many as the records."""
+        return recovery.provenance(self.accepted)
 
     @cached_property
     def payloads(self) -> DataFrame:
