@@ -39,7 +39,7 @@ def write_token_orc(
         encoder, before = shared_encoder(tokenizer, end_id, spaces_matter, MEMO_ENTRIES), 0
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for part in blocks(texts, 1_000_000):
+            for part in blocks(texts, 8_000_000):
                 found = encoder.encode(texts[part])
                 sizes = np.fromiter((len(x) // 4 for x in found), dtype=np.int64, count=len(found))
                 ends = np.cumsum(sizes)

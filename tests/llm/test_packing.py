@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -117,3 +118,20 @@ def test_memo_on_mixed_white_space(text):
 
         enc, library = shared_encoder(public_tokenizers.path(name), 3, spaces), LIBRARY[name]
         assert enc.encode([text]) == [np.array([*library.encode(text, add_special_tokens=False).ids, 3], dtype="<u4").tobytes()]
+
+
+@pytest.mark.parametrize("name,spaces", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_memo_is_compact_and_right_in_all_its_parts(name, spaces):
+    from plumbline.llm.tokens import ChunkEncoder
+
+    rng = random.Random(5)
+    signs = [*"abcdeTH" * 8, *"éßñÉΣςİǅªⅧ²½１\u0301\u0130\u200d漢😀\u00ad", *",.'-_#%1\"" * 2, *" " * 30, "\n", "\n", " \n", "  ", "\t", "\u00a0", "\u2003"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 300))) for _ in range(400)]
+    enc, library = ChunkEncoder(public_tokenizers.path(name), 7, spaces, 20_000), LIBRARY[name]
+    want = [np.array([*library.encode(t, add_special_tokens=False).ids, 7], dtype="<u4").tobytes() for t in texts]
+    for _ in range(2):  # from the memo, too
+        for i in range(0, len(texts), 80):
+            assert enc.encode(texts[i : i + 80]) == want[i : i + 80]
+    # arrays, without a Python object for each chunk
+    assert len(enc.memo) > 500 and enc.memo.get_total_buffer_size() < 64 * len(enc.memo)
+    assert len(set(enc.memo.column(0).to_pylist())) == len(enc.memo)
