@@ -135,3 +135,14 @@ def test_memo_is_compact_and_right_in_all_its_parts(name, spaces):
     # arrays, without a Python object for each chunk
     assert len(enc.memo) > 500 and enc.memo.get_total_buffer_size() < 64 * len(enc.memo)
     assert len(set(enc.memo.column(0).to_pylist())) == len(enc.memo)
+
+
+def test_line_feeds_part_chunks():
+    from plumbline.llm.tokens import ChunkEncoder
+
+    enc, learned = ChunkEncoder(PATH, 7, False), []
+    learn = enc._learn
+    enc._learn = lambda chunks: (learned.extend(chunks), learn(chunks))
+    text = "one.\nTwo one.\n\nTwo\none. Two\n"
+    assert enc.encode([text, text]) == [x + enc.end for x in enc._library([text, text])]
+    assert sorted(learned) == ["", "Two", "one."]
