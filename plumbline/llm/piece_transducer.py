@@ -18,8 +18,9 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
@@ -27,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import blocks
+from .tokens import ChunkMemo, blocks
 
 SPACE = "▁"
-#: No piece has a space behind another character: paths of these units don't depend on each other.
-UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-#: A worker remembers so many units of at most so many characters, and so many weights of pairs.
-UNITS_MOST, UNIT_CHARS, PAIRS_MOST = 500_000, 64, 2_000_000
+SPACE_BYTES = SPACE.encode()
+#: A worker remembers so many units, and so many weights of pairs.
+UNITS_MOST, PAIRS_MOST = 1_500_000, 2_000_000
+#: Bytes that are looked at together.
+STRETCH = 1 << 18
 INFINITY = float("inf")
 UNIGRAM, BPE = 1, 2
 #: What the library puts on a character that no piece has, and on pieces that the user has defined.
@@ -83,7 +85,7 @@ class Normaliser:
         return (self.space if self.dummy_prefix else "") + text.replace(" ", self.space)
 
 
-class PieceTransducer:
+class PieceTransducer(ChunkMemo):
     """The machines of the model file at `path`, a unigram model or a byte-pair encoding."""
 
     def __init__(self, path: str) -> None:
@@ -95,22 +97,23 @@ class PieceTransducer:
             raise ValueError("only unigram models and byte-pair encodings whose spaces come first are supported")
         self.unigram = trainer.model_type == UNIGRAM
         self.normalise = Normaliser(charsmap_rules(spec.precompiled_charsmap), spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
-        self.text, self.cost, self.bytes = {}, {}, [b""] * len(model.pieces)
+        self.text, self.cost, surface = {}, {}, [b""] * len(model.pieces)
         self.byte_piece = [0] * 256
         self.unknown, self.user = 0, set()
         scores = [p.score for p in model.pieces if p.type == kinds.NORMAL] or [0.0]
         for i, p in enumerate(model.pieces):
             if p.type == kinds.BYTE:
                 self.byte_piece[int(p.piece[3:5], 16)] = i
-                self.bytes[i] = bytes([int(p.piece[3:5], 16)])
+                surface[i] = bytes([int(p.piece[3:5], 16)])
             elif p.type == kinds.UNKNOWN:
-                self.unknown, self.bytes[i] = i, (trainer.unk_surface if trainer.HasField("unk_surface") else " ⁇ ").encode()
+                self.unknown, surface[i] = i, (trainer.unk_surface if trainer.HasField("unk_surface") else " ⁇ ").encode()
             elif p.type in (kinds.NORMAL, kinds.USER_DEFINED):
                 self.text[p.piece], self.cost[p.piece] = i, -p.score
-                self.bytes[i] = p.piece.replace(SPACE, " ").encode()
+                surface[i] = p.piece.replace(SPACE, " ").encode()
                 if p.type == kinds.USER_DEFINED:
                     self.user.add(p.piece)
                     self.cost[p.piece] = USER_BONUS - len(p.piece) * max(scores)
+        self.bytes = pa.array(surface, pa.large_binary())
         self.fallback = trainer.byte_fallback
         if self.user and not self.unigram or any(SPACE in p.lstrip(SPACE) for p in self.text):
             raise ValueError("pieces with a space inside, and pieces of a user in a byte-pair encoding, are not supported")
@@ -121,10 +124,28 @@ class PieceTransducer:
         #: the byte fallback takes it if no piece does.
         self.states = {p[:n]: n == 1 for p in self.text for n in range(1, len(p) + 1)}
         self.states.update(dict.fromkeys(self.text, True))
-        self.units: dict[str, bytes] = {}
+        #: The longest piece that begins with one or two characters.
+        self.reach: dict[str, int] = {}
+        for p in sorted(self.text, key=len):
+            self.reach[p[:2]] = len(p)
+        self.path = self.shortest_path if self.unigram else self.first_path
+        super().__init__(UNITS_MOST)
+        self.apart = self._apart()
         self.arcs: dict[str, dict[str, float]] = {}
         self.pairs = 0
 
+    def _apart(self) -> np.ndarray:
+        """For two bytes, the first times 256 plus the second: whether texts are cut between them. No piece has a character
+        that ends with the first before one that begins with the second, so no arc and no merge goes across, and paths of
+        the two sides don't depend on each other. Without the byte fallback neighbours can be one unknown, so none are."""
+        out = np.zeros((256, 256), dtype=bool)
+        if self.fallback:
+            out[:, [b for b in range(256) if not 0x80 <= b < 0xC0]] = True
+        for piece in self.text:
+            for a, b in pairwise(piece):
+                out[a.encode()[-1], b.encode()[0]] = False
+        return out.ravel()
+
     def merged(self, text: str) -> list[str]:
         """Byte-pair merges of a short string, the best-ranked pair first, of equals the leftmost."""
         parts = list(text)
@@ -149,6 +170,38 @@ class PieceTransducer:
             self.pairs += 1
         return known
 
+    def first_path(self, unit: str) -> list[str]:
+        """shortest_path() of a byte-pair encoding: as arcs weigh 0 or infinity, the first path of finite weight is the
+        least. Of the states that the best-first search could go on from, that which came last is tried first, and of its
+        arcs the longest; a place whose arcs all fail is not entered again, for one state of finite weight is all it has."""
+        n, reach, arcs, text = len(unit), self.reach, self.arcs, self.text
+        out, ends, dead = [""], [0], set()
+        j = 0
+        i = min(n, reach.get(unit[:2], 1))
+        while j < n:
+            last = out[-1]
+            own = arcs.get(last)
+            if own is None:
+                own = arcs[last] = {}
+            while i > j:
+                piece = unit[j:i]
+                if (piece in text or i == j + 1) and i not in dead:
+                    known = own.get(piece)
+                    if (self.weight(last, piece) if known is None else known) == 0.0:
+                        break
+                i -= 1
+            if i > j:
+                out.append(piece)
+                ends.append(i)
+                j = i
+                i = min(n, j + reach.get(unit[j : j + 2], 1))
+            else:  # no arc of finite weight goes on from here
+                dead.add(j)
+                i = ends.pop() - 1
+                out.pop()
+                j = ends[-1]
+        return out[1:]
+
     def shortest_path(self, unit: str) -> list[str]:
         """The pieces, or characters left to the byte fallback, of the path with the least weight; of equals the one whose
         last piece begins first. At each place the arcs of all pieces that begin there are relaxed."""
@@ -181,7 +234,7 @@ class PieceTransducer:
 
     def _unit(self, unit: str) -> bytes:
         known, out = self.packed, []
-        for piece in self.shortest_path(unit):
+        for piece in self.path(unit):
             ids = known.get(piece)
             if ids is None:  # the byte fallback's pieces
                 found = [self.byte_piece[b] for b in piece.encode("utf-8", "surrogatepass")] if self.fallback else [self.unknown]
@@ -192,30 +245,56 @@ class PieceTransducer:
             out = [ids for k, ids in enumerate(out) if not (k and ids == none and out[k - 1] == none)]
         return b"".join(out)
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if len(self.units) > UNITS_MOST:
-            short = {k: v for k, v in self.units.items() if len(k) <= 8}
-            self.units = short if 2 * len(short) < UNITS_MOST else {}
+    @property
+    def units(self) -> list[str]:
+        """Units that are remembered."""
+        return self.memo.column(0).to_pylist()
+
+    def _learn(self, chunks: list[str]) -> None:
         if self.pairs > PAIRS_MOST:
             self.arcs, self.pairs = {}, 0
-        units, found = self.units, UNIT.findall(self.normalise(text))
-        long = []
-        for unit in set(found).difference(units):
-            units[unit] = self._unit(unit)
-            if len(unit) > UNIT_CHARS:
-                long.append(unit)
-        out = b"".join(map(units.__getitem__, found))
-        for unit in long:
-            del units[unit]
-        return out
+        self._append(pa.array(chunks, pa.large_string()), pa.array([*map(self._unit, chunks)], pa.large_binary()))
+
+    def encode_all(self, texts: Sequence[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; null and empty texts have none."""
+        held = pa.array([self.normalise(text) if text else "" for text in texts], pa.large_string())
+        bounds = np.frombuffer(held.buffers()[1], dtype="<i8", count=len(texts) + 1)
+        data = np.frombuffer(held.buffers()[2] or b"", dtype=np.uint8, count=bounds[-1])
+        cut = np.zeros(len(data) + 1, dtype=bool)
+        if len(data):
+            for i in range(1, len(data), STRETCH):  # places take eight bytes for each byte of text
+                part = data[i : i + STRETCH]
+                cut[i : i + len(part)] = self.apart[(data[i - 1 : i - 1 + len(part)].astype(np.uint16) << 8) | part]
+            spaces = np.flatnonzero(data == SPACE_BYTES[0])
+            spaces = spaces[(data[1:][spaces] == SPACE_BYTES[1]) & (data[2:][spaces] == SPACE_BYTES[2])]
+            cut[spaces[np.append(True, np.diff(spaces) != 3)[: len(spaces)]]] = True  # no piece has one behind another character
+        cut[bounds] = True
+        begins = np.flatnonzero(cut)  # the end, too
+        units = pa.Array.from_buffers(pa.large_string(), len(begins) - 1, [None, pa.py_buffer(begins), held.buffers()[2]])
+        coded = units.dictionary_encode()
+        ids = self._recall(coded.dictionary).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], dtype="<i8", count=len(ids) + 1)[np.searchsorted(begins, bounds)].tolist()
+        joined = memoryview(ids.buffers()[2] or b"")
+        return [bytes(joined[a:b]) for a, b in pairwise(ends)]
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        return self.encode_all([text])[0]
+
+    def decode_all(self, rows: Sequence[bytes | None]) -> list[str]:
+        """The texts of little-endian ids: the dummy space is dropped, bytes that aren't UTF-8 become U+FFFD."""
+        if any(len(x or b"") % 4 for x in rows):
+            raise ValueError("ids are of four bytes each")
+        ids = np.frombuffer(b"".join(x for x in rows if x), dtype="<u4")
+        data = self.bytes.take(pa.array(ids))
+        ends = np.frombuffer(data.buffers()[1], dtype="<i8", count=len(ids) + 1)
+        ends = ends[np.cumsum([0, *(len(x or b"") // 4 for x in rows)])].tolist()
+        joined, drop = memoryview(data.buffers()[2] or b""), self.normalise.dummy_prefix
+        return [str(joined[a + (drop and joined[a : a + 1] == b" " and a < b) : b], "utf-8", "replace") for a, b in pairwise(ends)]
 
     def decode(self, ids: bytes) -> str:
-        """The text of little-endian ids: the dummy space is dropped, bytes that aren't UTF-8 become U+FFFD."""
-        data = b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
-        return (data[1:] if self.normalise.dummy_prefix and data[:1] == b" " else data).decode("utf-8", "replace")
+        """The text of one row of ids."""
+        return self.decode_all([ids])[0]
 
 
 @lru_cache(maxsize=2)
@@ -232,9 +311,10 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for part in blocks(texts, 1_000_000):
-                found = pa.array([transducer(model).encode(x) for x in texts[part]], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], found], names=["doc_id", "piece_ids"])
+            for part in blocks(texts, 4_000_000):
+                found, ids = transducer(model).encode_all(texts[part]), batch.column(0)[part.start : part.stop]
+                for few in blocks(texts[part], 1_000_000):  # what is handed on at once
+                    yield pa.RecordBatch.from_arrays([ids[few.start : few.stop], pa.array(found[few], type=pa.binary())], names=["doc_id", "piece_ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece_ids binary")
@@ -248,7 +328,7 @@ def decode_pieces(rows: DataFrame, model: str, *, keep_ids: bool = False) -> Dat
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                texts = pa.array([transducer(model).decode(x.as_py() or b"") for x in part.column(1)], type=pa.string())
+                texts = pa.array(transducer(model).decode_all(part.column(1).to_pylist()), type=pa.string())
                 more = {"piece_ids": part.column(1)} if keep_ids else {}
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "text": texts, **more})
 

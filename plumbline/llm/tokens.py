@@ -39,7 +39,49 @@ MEMO = pa.schema([("chunk", pa.large_string()), ("ids", pa.large_binary())])
 EMPTY = pa.record_batch([[], []], schema=MEMO)
 
 
-class ChunkEncoder:
+class ChunkMemo:
+    """Ids of chunks in Arrow arrays, null for a chunk that has none of its own. `_learn` appends those of new chunks."""
+
+    def __init__(self, entries: int) -> None:
+        self.memo_entries = entries
+        self.memo = self.earlier = EMPTY  # those used of late, and those used before them
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Append the ids of `chunks`, in order, and then whatever else is worth remembering."""
+        raise NotImplementedError
+
+    def _forget(self) -> None:
+        """Called when a half of the memo is forgotten."""
+
+    def _append(self, chunks: pa.Array, ids: pa.Array) -> None:
+        self.memo = pa.record_batch([pa.concat_arrays([old, new]) for old, new in zip(self.memo.columns, (chunks, ids), strict=True)], schema=MEMO)
+
+    def _recall(self, chunks: pa.Array) -> pa.Array:
+        """The ids of different `chunks`. A half of the memo that no call has used since it was filled is forgotten."""
+        if 2 * len(self.memo) > self.memo_entries:
+            self.earlier, self.memo = self.memo, EMPTY
+            self._forget()
+        at = pc.index_in(chunks, value_set=self.memo.column(0))
+        if not at.null_count:
+            return self.memo.column(1).take(at)
+        known, missing = at.fill_null(0).to_numpy().astype(np.int64), np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        asked = chunks.take(pa.array(missing))
+        before = pc.index_in(asked, value_set=self.earlier.column(0))
+        new = before.is_null().to_numpy(zero_copy_only=False)
+        known[missing[~new]] = len(self.memo) + np.arange(len(missing) - new.sum())
+        self._append(*self.earlier.take(before.drop_null()).columns)
+        begin, asked = len(self.memo), asked.filter(pa.array(new))
+        known[missing[new]] = begin + np.arange(len(asked))
+        if len(asked):
+            self._learn(asked.to_pylist())
+        out = self.memo.column(1).take(pa.array(known))
+        long = np.flatnonzero(pc.utf8_length(self.memo.column(0).slice(begin)).to_numpy() > MEMO_CHARS)
+        if len(long):
+            self.memo = self.memo.take(pa.array(np.delete(np.arange(len(self.memo)), begin + long)))
+        return out
+
+
+class ChunkEncoder(ChunkMemo):
     """Encode texts with the tokenizer file at `path`; `end_id` is appended to every text.
 
     spaces_matter: the vocabulary keeps white space (byte-level BPE). Otherwise white space is dropped (word BPE).
@@ -52,14 +94,16 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = np.uint32(end_id).astype("<u4").tobytes()
-        self.spaces_matter, self.memo_entries = spaces_matter, memo_entries
-        # ids of chunks, null for one that has none of its own: those used of late, and those used before them
-        self.memo = self.earlier = EMPTY
+        self.spaces_matter = spaces_matter
+        super().__init__(memo_entries)
         self.tails: dict[str, bytes] = {}
         pieces = self.tokenizer.get_vocab(with_added_tokens=True)
         self.edge = np.zeros(max(pieces.values()) + 1, dtype=bool)
         self.edge[[i for p, i in pieces.items() if (p.startswith("\u0120") if spaces_matter else p.endswith("</w>"))]] = True
 
+    def _forget(self) -> None:
+        self.tails.clear()
+
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
@@ -139,33 +183,6 @@ class ChunkEncoder:
         self._append(held, rows.take(pa.array(place)))
         self._append(words.take(pa.array(new[more])), ids.take(pa.array(known[new[more]])))
 
-    def _append(self, chunks: pa.Array, ids: pa.Array) -> None:
-        self.memo = pa.record_batch([pa.concat_arrays([old, new]) for old, new in zip(self.memo.columns, (chunks, ids), strict=True)], schema=MEMO)
-
-    def _recall(self, chunks: pa.Array) -> pa.Array:
-        """The ids of different `chunks`. A half of the memo that no call has used since it was filled is forgotten."""
-        if 2 * len(self.memo) > self.memo_entries:
-            self.earlier, self.memo = self.memo, EMPTY
-            self.tails.clear()
-        at = pc.index_in(chunks, value_set=self.memo.column(0))
-        if not at.null_count:
-            return self.memo.column(1).take(at)
-        known, missing = at.fill_null(0).to_numpy().astype(np.int64), np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
-        asked = chunks.take(pa.array(missing))
-        before = pc.index_in(asked, value_set=self.earlier.column(0))
-        new = before.is_null().to_numpy(zero_copy_only=False)
-        known[missing[~new]] = len(self.memo) + np.arange(len(missing) - new.sum())
-        self._append(*self.earlier.take(before.drop_null()).columns)
-        begin, asked = len(self.memo), asked.filter(pa.array(new))
-        known[missing[new]] = begin + np.arange(len(asked))
-        if len(asked):
-            self._learn(asked.to_pylist())
-        out = self.memo.column(1).take(pa.array(known))
-        long = np.flatnonzero(pc.utf8_length(self.memo.column(0).slice(begin)).to_numpy() > MEMO_CHARS)
-        if len(long):
-            self.memo = self.memo.take(pa.array(np.delete(np.arange(len(self.memo)), begin + long)))
-        return out
-
     def _chunks(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
         """All chunks of `texts` in order, and the places of each text's first one. The first chunk of a byte-level
         vocabulary, which has no space before it, is null. Chunks lie between spaces and line feeds; a line feed stays

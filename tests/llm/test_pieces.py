@@ -149,3 +149,22 @@ def test_odd_rows(spark):
     assert encode_pieces(docs.limit(0), MODEL).count() == 0
     broken = spark.createDataFrame([(1, None), (2, bytearray(np.array([OWN.byte_piece[0xFF]], dtype="<u4").tobytes()))], "doc_id long, piece_ids binary")
     assert sorted(r.text for r in decode_pieces(broken, MODEL).collect()) == ["", "�"]
+
+
+def test_units_end_where_no_piece_goes_on():
+    machine = PieceTransducer(MODEL)
+    text = "often, often. (often) often\noften, 42often; é, é.é ,,, ...often"
+    assert np.frombuffer(machine.encode(text), dtype="<u4").tolist() == LIBRARY.encode(text)
+    units = machine.units
+    assert len(units) == len(set(units)) and "▁often" in units and not any("often" in u and u not in ("often", "▁often") for u in units)
+    learned, learn = [], machine._learn
+    machine._learn = lambda chunks: (learned.extend(chunks), learn(chunks))
+    assert machine.decode_all(machine.encode_all([text, None, "", "(often, é. 42"])) == [text, "", "", "(often, é. 42"]
+    assert not learned
+
+
+def test_the_first_finite_path_is_the_shortest():
+    rng = random.Random(11)
+    for _ in range(4000):
+        unit = "▁" * rng.randint(0, 2) + "".join(rng.choice("aeinrstdhlgoTHéß漢😀.,1") for _ in range(rng.randint(1, 30)))
+        assert OWN.first_path(unit) == OWN.shortest_path(unit)
