@@ -47,10 +47,12 @@ def write_token_orc(
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
                 starts = before + ends - sizes
                 before += int(ends[-1])
-                yield pa.RecordBatch.from_arrays(
+                out = pa.RecordBatch.from_arrays(
                     [ids[part.start : part.stop], pa.array(starts), pa.array(sizes.astype(np.int32)), tokens],
                     names=["doc_id", "file_start", "n_tokens", "tokens"],
                 )
+                for few in blocks(texts[part], 1_000_000):  # what is handed on at once
+                    yield out.slice(few.start, few.stop - few.start)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # quantiles of the ids alone: a range exchange would sample whole rows, and so read every text twice
